@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import licenses, mixing, quality, shards, simhash
 
 QUERIES = {
+    "op1_shards": shards.op1_shards,
+    "op3_licenses": licenses.op3_licenses,
     "op7_quality": quality.op7_quality,
+    "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
 }
 ORACLES: dict[str, str] = {}
