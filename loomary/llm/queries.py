@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import huffman, licenses, mixing, packing, quality, shards, simhash
+from . import chat, cws, huffman, licenses, mixing, packing, quality, shards, simhash
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
     "op3_licenses": licenses.op3_licenses,
+    "op4_cws": cws.op4_cws,
     "op5_packing": packing.op5_packing,
     "op6_token_files": huffman.op6_token_files,
     "op7_quality": quality.op7_quality,
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
+    "op10_chat": chat.op10_chat,
 }
 ORACLES: dict[str, str] = {}
