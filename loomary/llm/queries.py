@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, cws, huffman, licenses, mixing, packing, quality, shards, simhash
+from . import chat, cws, huffman, licenses, lines, mixing, packing, quality, shards, simhash
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
+    "op2_lines": lines.op2_lines,
     "op3_licenses": licenses.op3_licenses,
     "op4_cws": cws.op4_cws,
     "op5_packing": packing.op5_packing,
