@@ -7,9 +7,13 @@ is c / (y e^r) for y = e^(r (t - beta)), which is a0 e^(-r t); the sample is the
 texts share a sample with probability equal to their generalised Jaccard similarity, the sum of the lesser weights
 over the sum of the greater.
 
-A term that occurs once has t = 0 and value a0, which is a falling function of its hash: no logarithm is needed, only
-the greatest hash. Terms that occur more often, a small share, are expanded to a row per sample. All runs inside the
-tasks that hold the texts: no term is ever shuffled.
+The least value is found without trying every sample of every term. The hash behind a0 is drawn bit by bit: bit i of
+a term's k-th hash is bit k of its uniform for sample i. The AND of the first d hashes so marks, in one 64-bit mask, the
+samples for which a term's uniform is among the top 2^-d, and only those can hold the least value where a text has
+many terms. d follows from the number of distinct words (a lower bound for that of terms), so that REACH terms are
+expected per sample; a sample that none reaches (probability 64 e^-REACH, about 7e-6 a text) stays empty and agrees
+with none. Terms that occur more often, a small share, are tried for every sample. The fingerprint is a function of the
+text alone, and no term is ever shuffled.
 """
 
 from __future__ import annotations
@@ -22,60 +26,93 @@ from .histogram import LOW, find_ranges
 
 SAMPLES, WORDS = 64, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+DEPTH, REACH = 16, 16
 TAG = 4  # hex digits of a sample in a fingerprint
-EMPTY = "x" * TAG
+EMPTY = "-" * TAG
 
 
-def _grams(text: Column, k: int) -> Column:
-    """Array of structs of k words; a text with fewer words is one term, filled up with empty words; one without has none."""
-    plain = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
-    words = F.split(plain, " ")
-    filled = F.when(F.size(words) < k, F.concat(words, F.array_repeat(F.lit(""), k - F.size(words)))).otherwise(words)
-    n = F.greatest(F.size(filled) - k + 1, F.lit(0))
-    parts = F.arrays_zip(*[F.slice(filled, i + 1, n).alias(f"w{i}") for i in range(k)])
-    return F.when(plain != "", parts)
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
 
 
-def _uniform(seed: str) -> str:
-    """A number in (0, 1) from a hash of h."""
-    return f"((xxhash64(h, {seed}) >>> 11) + 0.5D) / 9007199254740992D"
+def _grams(df: DataFrame, text: str, k: int, keep: list[str]) -> DataFrame:
+    """(keep .., g): a row per k words of a text, in columns g.w0 ..; a text with fewer words is one row, filled up with empty words.
+
+    Each step is a column of its own: the plan then computes it once a row, where one nested expression would repeat it.
+    """
+    plain = df.select(*keep, _plain(F.col(text)).alias("plain")).filter("plain <> ''")
+    words = plain.select(*keep, F.split("plain", " ").alias("words")).withColumn("short", F.greatest(k - F.size("words"), F.lit(0)))
+    filled = words.select(*keep, F.when(F.col("short") > 0, F.concat("words", F.array_repeat(F.lit(""), F.col("short")))).otherwise(F.col("words")).alias("filled"))
+    sized = filled.withColumn("n", F.size("filled") - k + 1)
+    return sized.select(*keep, F.explode(F.arrays_zip(*[F.slice("filled", F.lit(i + 1), F.col("n")).alias(f"w{i}") for i in range(k)])).alias("g"))
+
+
+def _sampled(weight: str, mask: str) -> str:
+    """The order key of sample i (hash h, level c) of a term: the greater, the less its value; its low 32 bits tell (term, t).
+
+    The uniform is 1 - v with v = 2^-c (1 - f / 2), f from h. The key holds c, 26 bits of f, then the 32.
+    """
+    draw = lambda seed: f"(-ln(((xxhash64(h, {seed}) >>> 11) + 0.5D) / 9007199254740992D))"
+    own = "shiftleft(cast(c as bigint), 58) | shiftleft(h >>> 38, 32) | (h & 4294967295L)"
+    a0 = "(-ln(1D - (1D - ((h >>> 38) + 0.5D) / 134217728D) / shiftleft(1L, c)))"
+    rate = f"(ln(({a0} + {draw(1)}) / {a0}) + {draw(2)})"
+    step = f"floor((ln(cast({weight} as double)) + {draw(2)}) / {rate})"
+    below = f"greatest(1D - exp(-({a0} * exp(-{rate} * {step}))), 1e-9D)"
+    level = f"cast(floor(-log2({below})) as int)"
+    part = f"greatest(0D, least(1D, 2D - 2D * {below} * shiftleft(1L, {level})))"
+    moved = f"shiftleft(cast({level} as bigint), 58) | shiftleft(cast({part} * 67108863D as bigint), 32) | (xxhash64(h, {step}) & 4294967295L)"
+    return f"case when ({mask} >>> i) & 1 = 0 then null when {weight} = 1 or {step} = 0 then {own} else {moved} end"
 
 
-def _sampled(weight: str) -> str:
-    """The order key of sample i (hash h) of a term with this weight: the greater, the less its value; low 32 bits tell (term, t)."""
-    f, e2 = f"(-ln({_uniform('1')}))", f"(-ln({_uniform('2')}))"
-    step = f"floor((ln(cast({weight} as double)) + {e2}) / (ln((a0 + {f}) / a0) + {e2}))"
-    value = f"a0 * exp(-(ln((a0 + {f}) / a0) + {e2}) * ({step}))"
-    moved = f"shiftleft(cast(floor(exp(-({value})) * 2147483647D) as bigint), 32) | (xxhash64(h, {step}) & 4294967295L)"
-    return f"case when {weight} = 0 then null when {weight} = 1 or {step} = 0 then h >>> 1 else {moved} end"
+def _level(text: Column, words: int) -> Column:
+    """How many hashes are ANDed for a text: its distinct words over 2^level are REACH at least."""
+    distinct = F.size(F.array_distinct(F.split(_plain(text), " "))) - (words - 1)
+    return F.greatest(F.lit(0), F.least(F.lit(DEPTH), F.floor(F.log2(F.greatest(distinct, F.lit(1)) / F.lit(REACH))))).cast("int")
 
 
-def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], samples: int = SAMPLES, words: int = WORDS) -> DataFrame:
+def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], words: int = WORDS) -> DataFrame:
     """One row per distinct `keys` with a fingerprint for each text column, named after it.
 
     Rows that share keys count as one text with all their terms, so keys should be unique. Where `rows` is already
     partitioned by some of the keys, nothing is shuffled. Null and empty texts and those of white space have the empty
-    fingerprint. Weights of one term in several of the texts share their hashes.
+    fingerprint; a row of such texts only has no row in the result. Terms that several of the texts share are drawn once.
     """
-    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.coalesce(F.col(c), F.lit("")).alias("text")) for i, c in enumerate(texts)]))
-    split = rows.select(*keys, sides.alias("s")).select(*keys, "s.side", F.explode_outer(_grams(F.col("s.text"), words)).alias("g"))
-    terms = split.select(*keys, "side", F.when(F.col("g").isNotNull(), F.xxhash64(*[f"g.w{i}" for i in range(words)])).alias("term"))
-    weighed = terms.groupBy(*keys, "term").agg(*[F.count_if((F.col("side") == i) & F.col("term").isNotNull()).alias(f"w{i}") for i in range(len(texts))])
-    weights = [f"w{i}" for i in range(len(texts))]
-    often = " or ".join(f"{w} > 1" for w in weights)
-    spread = weighed.withColumn("i", F.explode(F.expr(f"if({often}, sequence(0, {samples - 1}), array(-1))")))
-    drawn = spread.withColumn("h", F.expr("if(i >= 0, xxhash64(term, i), null)")).withColumn("a0", F.expr("if(i >= 0, -ln(((h >>> 11) + 0.5D) / 9007199254740992D), null)"))
-    drawn = drawn.select(*keys, "term", "i", *weights, *[F.expr(f"if(i >= 0, {_sampled(w)}, null)").alias(f"k{w}") for w in weights])
-    best = [F.max(F.expr(f"if(i = -1, if({w} = 1, xxhash64(term, {i}) >>> 1, null), if(i = {i}, k{w}, null))")).alias(f"m{w}_{i}") for w in weights for i in range(samples)]
-    tag = lambda c: F.coalesce(F.right(F.lpad(F.hex(F.col(c)), F.lit(16), F.lit("0")), F.lit(TAG)), F.lit(EMPTY))
-    made = drawn.groupBy(*keys).agg(*best)
-    return made.select(*keys, *[F.lower(F.concat(*[tag(f"mw{j}_{i}") for i in range(samples)])).alias(c) for j, c in enumerate(texts)])
-
-
-def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
-    """Share of samples in which two fingerprints agree."""
-    same = F.expr(f"size(filter(sequence(0, {samples - 1}), i -> substring({a}, i * {TAG} + 1, {TAG}) = substring({b}, i * {TAG} + 1, {TAG})))")
-    return same / F.lit(float(samples))
+    n = len(texts)
+    filled = rows.select(*keys, *[F.coalesce(F.col(c), F.lit("")).alias(f"text{i}") for i, c in enumerate(texts)])
+    leveled = filled.select("*", *[_level(F.col(f"text{i}"), words).alias(f"d{i}") for i in range(n)])
+    levels, weights = [f"d{i}" for i in range(n)], [f"w{i}" for i in range(n)]
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"text{i}").alias("text")) for i in range(n)]))
+    split = _grams(leveled.select(*keys, *levels, sides.alias("s")).select(*keys, *levels, "s.side", "s.text"), "text", words, [*keys, *levels, "side"])
+    terms = split.select(*keys, *levels, "side", F.xxhash64(*[f"g.w{i}" for i in range(words)]).alias("term"))
+    weighed = terms.groupBy(*keys, *levels, "term").agg(*[F.count_if(F.col("side") == i).alias(w) for i, w in enumerate(weights)])
+    hashed = weighed.select("*", *[F.xxhash64("term", F.lit(-k)).alias(f"a{k}") for k in range(1, DEPTH + 1)])
+    ands = lambda d: " when ".join(f"{k} then {' & '.join(f'a{j}' for j in range(1, k + 1))}" for k in range(1, d + 1))
+    masks = [F.expr(f"case when w{i} = 0 then 0L when w{i} > 1 or d{i} = 0 then -1L else case d{i} when {ands(DEPTH)} end end").alias(f"q{i}") for i in range(n)]
+    marked = hashed.select("*", *masks)
+    tried = marked.withColumn("i", F.explode(F.lit(list(range(SAMPLES))))).filter(F.expr(f"(({' | '.join(f'q{i}' for i in range(n))}) >>> i) & 1 = 1"))
+    level = "0"
+    for k in range(DEPTH, 0, -1):
+        level = f"if((a{k} >>> i) & 1 = 0, {k - 1}, {level if k < DEPTH else k})"
+    drawn = tried.select(*keys, "i", *weights, *[f"q{i}" for i in range(n)], F.xxhash64("term", "i").alias("h"), F.expr(level).alias("c"))
+    keyed = drawn.select(*keys, "i", *[F.expr(_sampled(f"w{i}", f"q{i}")).alias(f"k{i}") for i in range(n)])
+    least = keyed.groupBy(*keys, "i").agg(*[F.max(f"k{i}").alias(f"k{i}") for i in range(n)])
+    tag = lambda c: F.right(F.lpad(F.lower(F.hex(c)), 16, "0"), F.lit(TAG))
+    named = least.select(*keys, F.struct("i", *[tag(F.col(f"k{i}")).alias(f"t{i}") for i in range(n)]).alias("sample"))
+    made = named.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("sample.i"), F.col("sample")))).alias("m"))
+    joined = [F.array_join(F.transform(F.lit(list(range(SAMPLES))), _of(i)), "").alias(c) for i, c in enumerate(texts)]
+    return made.select(*keys, *joined)
+
+
+def _of(side: int):
+    return lambda i: F.coalesce(F.try_element_at("m", i)[f"t{side}"], F.lit(EMPTY))
+
+
+def likeness(a: str, b: str) -> Column:
+    """Share of samples in which two fingerprints agree; two empty ones are alike."""
+    at = lambda x: f"substring({x}, i * {TAG} + 1, {TAG})"
+    same = F.expr(f"size(filter(sequence(0, {SAMPLES - 1}), i -> {at(a)} = {at(b)} and {at(a)} <> '{EMPTY}'))") / F.lit(float(SAMPLES))
+    none = F.lit(EMPTY * SAMPLES)
+    return F.when((F.col(a) == none) & (F.col(b) == none), 1.0).otherwise(same)
 
 
 def with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", part_bytes: int = 8 << 20, parts: tuple[int, int] = (64, 1 << 16)) -> DataFrame:
@@ -108,6 +145,7 @@ def op4_cws(spark, sf_dir: str) -> DataFrame:
     texts = own.withColumn("edited", F.concat(F.substring("text", F.lit(1), size - moved), F.substring("next", F.lit(1), moved)))
     made = fingerprints(texts.select("part", "n", "text", "edited"), ["part", "n"], ["text", "edited"]).withColumnsRenamed({"part": "p", "n": "m", "text": "fingerprint", "edited": "edited_fingerprint"})
     facts = texts.select("part", "n", "own", F.col("id").alias("doc_id"), size.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    met = facts.join(made, (F.col("part") == F.col("p")) & (F.col("n") == F.col("m")))
+    none = F.lit(EMPTY * SAMPLES)
+    met = facts.join(made, (F.col("part") == F.col("p")) & (F.col("n") == F.col("m")), "left").withColumns({c: F.coalesce(F.col(c), none) for c in ("fingerprint", "edited_fingerprint")})
     after = met.withColumn("after", F.lead("fingerprint").over(Window.partitionBy("part").orderBy("n"))).filter("own")
     return after.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "after").alias("near_next"))

@@ -49,10 +49,11 @@ SHORT, NEED = 12, 0.6
 SMALL = 100_000
 
 
-def words(text: Column) -> Column:
-    """Words of a whole text with A-Z lower-cased; null and empty texts have none."""
-    plain = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAKS, " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+def with_words(df: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
+    """(keep .., words): words of whole texts with A-Z lower-cased; null and empty texts have none. One column a step, so that
+    each is computed once."""
+    plain = df.select(*keep, F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAKS, " ")).alias("plain"))
+    return plain.filter("plain <> ''").withColumn("words", F.split("plain", " ")).drop("plain")
 
 
 def _grams(column: str, k: int) -> Column:
@@ -85,7 +86,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, bool]] | None = None,
     templates = default_templates() if templates is None else templates
     table = template_table(docs.sparkSession, templates, k)
     facts = docs.sparkSession.createDataFrame([(t, label, base, len(text.split()) - k + 1, 1.0 if base or len(text.split()) <= SHORT else NEED, 0 if base else SLACK) for t, (label, text, base) in enumerate(templates)], "template int, label string, base boolean, grams int, need double, slack int")
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), words(F.col(f"`{text_col}`")).alias("words"))
+    own = with_words(docs, F.col(f"`{text_col}`"), [F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash")])
     rolling = own.select("id", "text_hash", F.posexplode(_grams("words", k)).alias("pos", "g")).select("id", "text_hash", "pos", *[F.col(f"g.w{i}").alias(f"w{i}") for i in range(k)])
     same = F.col("h") == F.col("hash")
     for i in range(k):

@@ -10,7 +10,7 @@ no document with boilerplate but a copy: it stays whole, for a document-level st
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read, written
@@ -19,16 +19,14 @@ DEPTH, MIN_DOCS, CONSTANT, LEAST_CONSTANT, MOST = 3, 3, 0.7, 4, 0.5
 VARIABLE = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens between white space, those with a digit replaced; a blank line has none."""
-    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.when(plain != "", F.transform(F.split(plain, " "), lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t)))
-
-
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(id, same, pos, tokens, leaf): the lines of every text; `same` is a hash of the text."""
+    """(id, same, pos, tokens, leaf): the lines of every text that aren't blank; `same` is a hash of the text.
+
+    Tokens stand between white space; those with a digit are replaced. One column a step, so that each is computed once.
+    """
     split = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("same"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("pos", "line"))
-    tokens = split.select("id", "same", "pos", _tokens(F.col("line")).alias("tokens")).filter("tokens is not null")
+    plain = split.select("id", "same", "pos", F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")).alias("plain")).filter("plain <> ''")
+    tokens = plain.select("id", "same", "pos", F.split(F.regexp_replace("plain", r"[^ ]*[0-9][^ ]*", VARIABLE), " ").alias("tokens"))
     return tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)))
 
 
