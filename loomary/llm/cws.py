@@ -36,32 +36,34 @@ def _plain(text: Column) -> Column:
 
 
 def _grams(df: DataFrame, text: str, k: int, keep: list[str]) -> DataFrame:
-    """(keep .., g): a row per k words of a text, in columns g.w0 ..; a text with fewer words is one row, filled up with empty words.
-
-    Each step is a column of its own: the plan then computes it once a row, where one nested expression would repeat it.
-    """
-    plain = df.select(*keep, _plain(F.col(text)).alias("plain")).filter("plain <> ''")
-    words = plain.select(*keep, F.split("plain", " ").alias("words")).withColumn("short", F.greatest(k - F.size("words"), F.lit(0)))
-    filled = words.select(*keep, F.when(F.col("short") > 0, F.concat("words", F.array_repeat(F.lit(""), F.col("short")))).otherwise(F.col("words")).alias("filled"))
-    sized = filled.withColumn("n", F.size("filled") - k + 1)
-    return sized.select(*keep, F.explode(F.arrays_zip(*[F.slice("filled", F.lit(i + 1), F.col("n")).alias(f"w{i}") for i in range(k)])).alias("g"))
+    """(keep .., __g): a row per k words of a text, in columns __g.w0 ..; a text with fewer words is one row, filled up with
+    empty words. Each step is a column of its own, as one nested expression would repeat its parts."""
+    plain = df.select(*keep, _plain(F.col(text)).alias("__plain")).filter("__plain <> ''")
+    words = plain.select(*keep, F.split("__plain", " ").alias("__words")).withColumn("__short", F.greatest(k - F.size("__words"), F.lit(0)))
+    filled = words.select(*keep, F.when(F.col("__short") > 0, F.concat("__words", F.array_repeat(F.lit(""), F.col("__short")))).otherwise(F.col("__words")).alias("__filled"))
+    sized = filled.withColumn("__count", F.size("__filled") - k + 1)
+    return sized.select(*keep, F.explode(F.arrays_zip(*[F.slice("__filled", F.lit(i + 1), F.col("__count")).alias(f"w{i}") for i in range(k)])).alias("__g"))
 
 
-def _sampled(weight: str, mask: str) -> str:
-    """The order key of sample i (hash h, level c) of a term: the greater, the less its value; its low 32 bits tell (term, t).
+def _order_keys(drawn: DataFrame, keep: list[str], sides: int) -> DataFrame:
+    """(keep .., __k0 ..): per side the order key of sample __i of a term: the greater, the less its value.
 
-    The uniform is 1 - v with v = 2^-c (1 - f / 2), f from h. The key holds c, 26 bits of f, then the 32.
+    The uniform is 1 - v with v = 2^-c (1 - f / 2), f from the hash __h, c its level. The key holds c, 26 bits of f, and
+    32 bits that tell (term, t). Small steps: code generated from one large expression would be too long to be compiled.
     """
-    draw = lambda seed: f"(-ln(((xxhash64(h, {seed}) >>> 11) + 0.5D) / 9007199254740992D))"
-    own = "shiftleft(cast(c as bigint), 58) | shiftleft(h >>> 38, 32) | (h & 4294967295L)"
-    a0 = "(-ln(1D - (1D - ((h >>> 38) + 0.5D) / 134217728D) / shiftleft(1L, c)))"
-    rate = f"(ln(({a0} + {draw(1)}) / {a0}) + {draw(2)})"
-    step = f"floor((ln(cast({weight} as double)) + {draw(2)}) / {rate})"
-    below = f"greatest(1D - exp(-({a0} * exp(-{rate} * {step}))), 1e-9D)"
-    level = f"cast(floor(-log2({below})) as int)"
-    part = f"greatest(0D, least(1D, 2D - 2D * {below} * shiftleft(1L, {level})))"
-    moved = f"shiftleft(cast({level} as bigint), 58) | shiftleft(cast({part} * 67108863D as bigint), 32) | (xxhash64(h, {step}) & 4294967295L)"
-    return f"case when ({mask} >>> i) & 1 = 0 then null when {weight} = 1 or {step} = 0 then {own} else {moved} end"
+    uniform = lambda seed: f"((xxhash64(__h, {seed}) >>> 11) + 0.5D) / 9007199254740992D"
+    own = [*keep, "__i", "__h", "__c"]
+    per_side = [c for j in range(sides) for c in (f"__w{j}", f"__q{j}")]
+    heavy = " or ".join(f"__w{j} > 1" for j in range(sides))
+    x = drawn.select(*own, *per_side, F.expr(heavy).alias("__heavy"))
+    x = x.select("*", *[F.expr(f"if(__heavy, -ln({u}), null)").alias(c) for c, u in (("__a0", "1D - (1D - ((__h >>> 38) + 0.5D) / 134217728D) / shiftleft(1L, __c)"), ("__f", uniform(1)), ("__e2", uniform(2)))])
+    x = x.withColumn("__r", F.expr("ln((__a0 + __f) / __a0) + __e2"))
+    x = x.select("*", *[F.expr(f"if(__w{j} > 1, floor((ln(cast(__w{j} as double)) + __e2) / __r), 0L)").alias(f"__t{j}") for j in range(sides)])
+    x = x.select("*", *[F.expr(f"if(__t{j} > 0, greatest(1D - exp(-__a0 * exp(-__r * __t{j})), 1e-9D), null)").alias(f"__v{j}") for j in range(sides)])
+    x = x.select("*", *[F.expr(f"cast(floor(-log2(__v{j})) as int)").alias(f"__l{j}") for j in range(sides)])
+    plain = "shiftleft(cast(__c as bigint), 58) | shiftleft(__h >>> 38, 32) | (__h & 4294967295L)"
+    moved = "shiftleft(cast(__l{0} as bigint), 58) | shiftleft(cast(greatest(0D, least(1D, 2D - 2D * __v{0} * shiftleft(1L, __l{0}))) * 67108863D as bigint), 32) | (xxhash64(__h, __t{0}) & 4294967295L)"
+    return x.select(*keep, "__i", *[F.expr(f"if((__q{j} >>> __i) & 1 = 0, null, if(__t{j} > 0, {moved.format(j)}, {plain}))").alias(f"__k{j}") for j in range(sides)])
 
 
 def _level(text: Column, words: int) -> Column:
@@ -78,33 +80,30 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], words: int
     fingerprint; a row of such texts only has no row in the result. Terms that several of the texts share are drawn once.
     """
     n = len(texts)
-    filled = rows.select(*keys, *[F.coalesce(F.col(c), F.lit("")).alias(f"text{i}") for i, c in enumerate(texts)])
-    leveled = filled.select("*", *[_level(F.col(f"text{i}"), words).alias(f"d{i}") for i in range(n)])
-    levels, weights = [f"d{i}" for i in range(n)], [f"w{i}" for i in range(n)]
-    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"text{i}").alias("text")) for i in range(n)]))
-    split = _grams(leveled.select(*keys, *levels, sides.alias("s")).select(*keys, *levels, "s.side", "s.text"), "text", words, [*keys, *levels, "side"])
-    terms = split.select(*keys, *levels, "side", F.xxhash64(*[f"g.w{i}" for i in range(words)]).alias("term"))
-    weighed = terms.groupBy(*keys, *levels, "term").agg(*[F.count_if(F.col("side") == i).alias(w) for i, w in enumerate(weights)])
-    hashed = weighed.select("*", *[F.xxhash64("term", F.lit(-k)).alias(f"a{k}") for k in range(1, DEPTH + 1)])
-    ands = lambda d: " when ".join(f"{k} then {' & '.join(f'a{j}' for j in range(1, k + 1))}" for k in range(1, d + 1))
-    masks = [F.expr(f"case when w{i} = 0 then 0L when w{i} > 1 or d{i} = 0 then -1L else case d{i} when {ands(DEPTH)} end end").alias(f"q{i}") for i in range(n)]
-    marked = hashed.select("*", *masks)
-    tried = marked.withColumn("i", F.explode(F.lit(list(range(SAMPLES))))).filter(F.expr(f"(({' | '.join(f'q{i}' for i in range(n))}) >>> i) & 1 = 1"))
-    level = "0"
+    filled = rows.select(*keys, *[F.coalesce(F.col(c), F.lit("")).alias(f"__text{j}") for j, c in enumerate(texts)])
+    leveled = filled.select("*", *[_level(F.col(f"__text{j}"), words).alias(f"__d{j}") for j in range(n)])
+    own = [*keys, *[f"__d{j}" for j in range(n)]]
+    sides = F.explode(F.array(*[F.struct(F.lit(j).alias("side"), F.col(f"__text{j}").alias("text")) for j in range(n)]))
+    split = leveled.select(*own, sides.alias("__s")).select(*own, F.col("__s.side").alias("__side"), F.col("__s.text").alias("__text"))
+    terms = _grams(split, "__text", words, [*own, "__side"]).select(*own, "__side", F.xxhash64(*[f"__g.w{i}" for i in range(words)]).alias("__term"))
+    weighed = terms.groupBy(*own, "__term").agg(*[F.count_if(F.col("__side") == j).alias(f"__w{j}") for j in range(n)])
+    hashed = weighed.select("*", *[F.xxhash64("__term", F.lit(-k)).alias(f"__a{k}") for k in range(1, DEPTH + 1)])
+    ands = " & ".join(f"if(__d{{0}} >= {k}, __a{k}, -1L)" for k in range(1, DEPTH + 1))
+    masks = [F.expr(f"if(__w{j} = 0, 0L, if(__w{j} > 1, -1L, {ands.format(j)}))").alias(f"__q{j}") for j in range(n)]
+    tried = hashed.select("*", *masks).withColumn("__i", F.explode(F.lit(list(range(SAMPLES))))).filter(F.expr(f"(({' | '.join(f'__q{j}' for j in range(n))}) >>> __i) & 1 = 1"))
+    level = str(DEPTH)
     for k in range(DEPTH, 0, -1):
-        level = f"if((a{k} >>> i) & 1 = 0, {k - 1}, {level if k < DEPTH else k})"
-    drawn = tried.select(*keys, "i", *weights, *[f"q{i}" for i in range(n)], F.xxhash64("term", "i").alias("h"), F.expr(level).alias("c"))
-    keyed = drawn.select(*keys, "i", *[F.expr(_sampled(f"w{i}", f"q{i}")).alias(f"k{i}") for i in range(n)])
-    least = keyed.groupBy(*keys, "i").agg(*[F.max(f"k{i}").alias(f"k{i}") for i in range(n)])
+        level = f"if((__a{k} >>> __i) & 1 = 0, {k - 1}, {level})"
+    drawn = tried.select("*", F.xxhash64("__term", "__i").alias("__h"), F.expr(level).alias("__c"))
+    least = _order_keys(drawn, keys, n).groupBy(*keys, "__i").agg(*[F.max(f"__k{j}").alias(f"__k{j}") for j in range(n)])
     tag = lambda c: F.right(F.lpad(F.lower(F.hex(c)), 16, "0"), F.lit(TAG))
-    named = least.select(*keys, F.struct("i", *[tag(F.col(f"k{i}")).alias(f"t{i}") for i in range(n)]).alias("sample"))
-    made = named.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("sample.i"), F.col("sample")))).alias("m"))
-    joined = [F.array_join(F.transform(F.lit(list(range(SAMPLES))), _of(i)), "").alias(c) for i, c in enumerate(texts)]
-    return made.select(*keys, *joined)
+    named = least.select(*keys, F.struct("__i", F.struct(*[tag(F.col(f"__k{j}")).alias(f"t{j}") for j in range(n)])).alias("__sample"))
+    made = named.groupBy(*keys).agg(F.map_from_entries(F.collect_list("__sample")).alias("__m"))
+    return made.select(*keys, *[F.array_join(F.transform(F.lit(list(range(SAMPLES))), _of(j)), "").alias(c) for j, c in enumerate(texts)])
 
 
 def _of(side: int):
-    return lambda i: F.coalesce(F.try_element_at("m", i)[f"t{side}"], F.lit(EMPTY))
+    return lambda i: F.coalesce(F.try_element_at("__m", i)[f"t{side}"], F.lit(EMPTY))
 
 
 def likeness(a: str, b: str) -> Column:
