@@ -25,24 +25,23 @@ from .common import read
 from .histogram import LOW, find_ranges
 
 SAMPLES, WORDS = 64, 5
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACES = " \t\n\x0b\f\r"
 DEPTH, REACH = 16, 16
 TAG = 4  # hex digits of a sample in a fingerprint
 EMPTY = "-" * TAG
 
 
-def _plain(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
-
-
 def _grams(df: DataFrame, text: str, k: int, keep: list[str]) -> DataFrame:
-    """(keep .., __g): a row per k words of a text, in columns __g.w0 ..; a text with fewer words is one row, filled up with
-    empty words. Each step is a column of its own, as one nested expression would repeat its parts."""
-    plain = df.select(*keep, _plain(F.col(text)).alias("__plain")).filter("__plain <> ''")
-    words = plain.select(*keep, F.split("__plain", " ").alias("__words")).withColumn("__short", F.greatest(k - F.size("__words"), F.lit(0)))
-    filled = words.select(*keep, F.when(F.col("__short") > 0, F.concat("__words", F.array_repeat(F.lit(""), F.col("__short")))).otherwise(F.col("__words")).alias("__filled"))
+    """(keep .., __d, __g): a row per k words of a text, in columns __g.w0 ..; a text with fewer words is one row, filled up with
+    empty words. __d, the text's level: how many hashes are ANDed, so that its distinct words over 2^level are REACH at
+    least. Each step is a column of its own, as one nested expression would repeat its parts."""
+    plain = df.select(*keep, F.lower(F.btrim(text, F.lit(SPACES))).alias("__plain")).filter("__plain <> ''")
+    words = plain.select(*keep, F.split("__plain", f"[{SPACES}]+").alias("__words")).withColumn("__short", F.greatest(k - F.size("__words"), F.lit(0)))
+    known = words.withColumn("__d", F.size(F.array_distinct("__words")) - (k - 1))
+    level = F.greatest(F.lit(0), F.least(F.lit(DEPTH), F.floor(F.log2(F.greatest("__d", F.lit(1)) / F.lit(REACH))))).cast("int")
+    filled = known.select(*keep, level.alias("__d"), F.when(F.col("__short") > 0, F.concat("__words", F.array_repeat(F.lit(""), F.col("__short")))).otherwise(F.col("__words")).alias("__filled"))
     sized = filled.withColumn("__count", F.size("__filled") - k + 1)
-    return sized.select(*keep, F.explode(F.arrays_zip(*[F.slice("__filled", F.lit(i + 1), F.col("__count")).alias(f"w{i}") for i in range(k)])).alias("__g"))
+    return sized.select(*keep, "__d", F.explode(F.arrays_zip(*[F.slice("__filled", F.lit(i + 1), F.col("__count")).alias(f"w{i}") for i in range(k)])).alias("__g"))
 
 
 def _order_keys(drawn: DataFrame, keep: list[str], sides: int) -> DataFrame:
@@ -66,12 +65,6 @@ def _order_keys(drawn: DataFrame, keep: list[str], sides: int) -> DataFrame:
     return x.select(*keep, "__i", *[F.expr(f"if((__q{j} >>> __i) & 1 = 0, null, if(__t{j} > 0, {moved.format(j)}, {plain}))").alias(f"__k{j}") for j in range(sides)])
 
 
-def _level(text: Column, words: int) -> Column:
-    """How many hashes are ANDed for a text: its distinct words over 2^level are REACH at least."""
-    distinct = F.size(F.array_distinct(F.split(_plain(text), " "))) - (words - 1)
-    return F.greatest(F.lit(0), F.least(F.lit(DEPTH), F.floor(F.log2(F.greatest(distinct, F.lit(1)) / F.lit(REACH))))).cast("int")
-
-
 def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], words: int = WORDS) -> DataFrame:
     """One row per distinct `keys` with a fingerprint for each text column, named after it.
 
@@ -80,13 +73,11 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], words: int
     fingerprint; a row of such texts only has no row in the result. Terms that several of the texts share are drawn once.
     """
     n = len(texts)
-    filled = rows.select(*keys, *[F.coalesce(F.col(c), F.lit("")).alias(f"__text{j}") for j, c in enumerate(texts)])
-    leveled = filled.select("*", *[_level(F.col(f"__text{j}"), words).alias(f"__d{j}") for j in range(n)])
-    own = [*keys, *[f"__d{j}" for j in range(n)]]
-    sides = F.explode(F.array(*[F.struct(F.lit(j).alias("side"), F.col(f"__text{j}").alias("text")) for j in range(n)]))
-    split = leveled.select(*own, sides.alias("__s")).select(*own, F.col("__s.side").alias("__side"), F.col("__s.text").alias("__text"))
-    terms = _grams(split, "__text", words, [*own, "__side"]).select(*own, "__side", F.xxhash64(*[f"__g.w{i}" for i in range(words)]).alias("__term"))
-    weighed = terms.groupBy(*own, "__term").agg(*[F.count_if(F.col("__side") == j).alias(f"__w{j}") for j in range(n)])
+    sides = F.explode(F.array(*[F.struct(F.lit(j).alias("side"), F.coalesce(F.col(c), F.lit("")).alias("text")) for j, c in enumerate(texts)]))
+    split = rows.select(*keys, sides.alias("__s")).select(*keys, F.col("__s.side").alias("__side"), F.col("__s.text").alias("__text"))
+    terms = _grams(split, "__text", words, [*keys, "__side"]).select(*keys, "__side", "__d", F.xxhash64(*[f"__g.w{i}" for i in range(words)]).alias("__term"))
+    here = lambda j: F.col("__side") == j
+    weighed = terms.groupBy(*keys, "__term").agg(*[F.count_if(here(j)).alias(f"__w{j}") for j in range(n)], *[F.max(F.when(here(j), F.col("__d")).otherwise(0)).alias(f"__d{j}") for j in range(n)])
     hashed = weighed.select("*", *[F.xxhash64("__term", F.lit(-k)).alias(f"__a{k}") for k in range(1, DEPTH + 1)])
     ands = " & ".join(f"if(__d{{0}} >= {k}, __a{k}, -1L)" for k in range(1, DEPTH + 1))
     masks = [F.expr(f"if(__w{j} = 0, 0L, if(__w{j} > 1, -1L, {ands.format(j)}))").alias(f"__q{j}") for j in range(n)]
@@ -96,10 +87,10 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], words: int
         level = f"if((__a{k} >>> __i) & 1 = 0, {k - 1}, {level})"
     drawn = tried.select("*", F.xxhash64("__term", "__i").alias("__h"), F.expr(level).alias("__c"))
     least = _order_keys(drawn, keys, n).groupBy(*keys, "__i").agg(*[F.max(f"__k{j}").alias(f"__k{j}") for j in range(n)])
-    tag = lambda c: F.right(F.lpad(F.lower(F.hex(c)), 16, "0"), F.lit(TAG))
-    named = least.select(*keys, F.struct("__i", F.struct(*[tag(F.col(f"__k{j}")).alias(f"t{j}") for j in range(n)])).alias("__sample"))
+    tag = lambda c: F.substring(F.hex(F.col(c).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(0x10000))), 2, TAG)
+    named = least.select(*keys, F.struct("__i", F.struct(*[tag(f"__k{j}").alias(f"t{j}") for j in range(n)])).alias("__sample"))
     made = named.groupBy(*keys).agg(F.map_from_entries(F.collect_list("__sample")).alias("__m"))
-    return made.select(*keys, *[F.array_join(F.transform(F.lit(list(range(SAMPLES))), _of(j)), "").alias(c) for j, c in enumerate(texts)])
+    return made.select(*keys, *[F.lower(F.array_join(F.transform(F.lit(list(range(SAMPLES))), _of(j)), "")).alias(c) for j, c in enumerate(texts)])
 
 
 def _of(side: int):
