@@ -6,11 +6,16 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
+_TABLES: dict[str, list[str]] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,8 +58,24 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables written inside belong to this scope; those that an earlier use of it left are deleted first.
+
+    For chains whose every result is stored before the next step begins, as in a pipeline of stages.
+    """
+    for path in _TABLES.pop(name, []):
+        _delete(spark, path)
+    token = _SCOPE.set(name)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, computed once: written as Parquet to the shared folder, which cuts its lineage, and read back."""
     path = new_path(df.sparkSession, label)
+    _TABLES.setdefault(_SCOPE.get(), []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
