@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNKS, WORDS = 300_000, 500_000
+CHUNKS, WORDS = 700_000, 700_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -44,6 +44,7 @@ class ChunkTokenizer:
         self.characters = _byte_characters()
         self.chunks: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _ids(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -57,19 +58,30 @@ class ChunkTokenizer:
             found = self.words[word] = self._ids([t.id for t in self.model.tokenize(raw)])
         return found
 
+    def _parts(self, chunk: str) -> tuple[str, str] | None:
+        """A word of Latin letters and the punctuation after it; None for any other chunk."""
+        if chunk.isascii():
+            word = chunk.rstrip(".,:;!?")
+            return (word, chunk[len(word) :]) if word.isalpha() else None
+        m = self.plain.fullmatch(chunk)
+        return (m[1], m[2]) if m else None
+
     def _learn(self, new: set[str]) -> None:
         rest = []
         for chunk in new:
-            m = self.plain.fullmatch(chunk)
-            if m is None:
+            parts = self._parts(chunk)
+            if parts is None:
                 rest.append(chunk)
                 continue
-            tail = m[2] and self.chunks.get(m[2])
-            if tail is None:
-                tail = self.chunks[m[2]] = self._ids(self.whole.encode(m[2], add_special_tokens=False).ids)
-            self.chunks[chunk] = self._word(m[1].lower()) + (tail or b"")
-        for chunk, got in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.chunks[chunk] = self._ids(got.ids)
+            word, tail = parts
+            if tail and tail not in self.tails:
+                self.tails[tail] = self._ids(self.whole.encode(tail, add_special_tokens=False).ids)
+                if len(self.tails) > 1000:
+                    self.tails = {tail: self.tails[tail]}
+            self.chunks[chunk] = self._word(word.lower()) + self.tails[tail] if tail else self._word(word.lower())
+        if rest:
+            for chunk, got in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                self.chunks[chunk] = self._ids(got.ids)
 
     def encode(self, text: str | None) -> bytes:
         parts = (text or "").replace("\n", " ").split(" ")
