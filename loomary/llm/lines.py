@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import read, written
 
 DEPTH, MIN_DOCS, CONSTANT, LEAST_CONSTANT, MOST = 3, 3, 0.7, 4, 0.5
-VARIABLE = "<*>"
+VARIABLE, SALT = "<*>", 64
 
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -30,15 +30,21 @@ def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)))
 
 
+def candidates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The lines of leaves that at least `min_docs` documents meet; no other line can be of a recurring template.
+
+    Documents are told apart by their text, so exact copies count once.
+    """
+    leaves = lines.select("leaf", "same").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
+    return written(lines.join(written(leaves, "leaves"), "leaf", "left_semi").withColumn("line", F.xxhash64("leaf", "tokens")), "candidates")
+
+
 def templates(lines: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """(line, template): a hash of each line's tokens and of its template, for lines whose template recurs.
 
-    Documents are told apart by their text, so exact copies count once. A line counts once per document.
+    A line counts once per document.
     """
-    pairs = lines.select("leaf", "same").distinct()
-    leaves = written(pairs.groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf"), "leaves")
-    met = lines.join(leaves, "leaf", "left_semi")
-    own = written(met.select("leaf", "tokens", "same").distinct().groupBy("leaf", "tokens").agg(F.count("*").alias("docs")).withColumn("line", F.xxhash64("leaf", "tokens")), "lines")
+    own = written(lines.select("leaf", "line", "tokens", "same").distinct().groupBy("leaf", "line", "tokens").agg(F.count("*").alias("docs")), "lines")
     places = own.select("leaf", "line", "docs", F.posexplode("tokens").alias("pos", "token"))
     kept = places.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).filter((F.col("support") >= min_docs) & (F.col("token") != VARIABLE)).select("leaf", "pos", "token", F.lit(True).alias("fixed"))
     fixed = places.join(kept, ["leaf", "pos", "token"], "left")
@@ -57,12 +63,13 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     after all others when the first line is chosen. Rows that share id and text are treated alike. A document of
     nothing but recurring lines stays whole (see `most`), so no text becomes empty. An empty table gives an empty one.
     """
-    lines = _lines(docs, text_col, id_col)
+    lines = candidates(_lines(docs, text_col, id_col), min_docs)
     known = written(templates(lines, min_docs, constant), "recurring")
-    place = lines.select("id", "same", "pos", F.size("tokens").alias("words"), F.xxhash64("leaf", "tokens").alias("line"))
+    place = lines.select("id", "same", "pos", F.size("tokens").alias("words"), "line")
     found = written(place.join(known, "line").select("template", "id", "same", "pos", "words").distinct(), "found")
     order = F.struct(F.col("id").isNull(), "id", "same", "pos")
-    first = found.groupBy("template").agg(F.min(order).alias("first"))
+    salted = found.groupBy("template", F.pmod(F.xxhash64("same"), F.lit(SALT)).alias("salt")).agg(F.min(order).alias("first"))
+    first = written(salted.groupBy("template").agg(F.min("first").alias("first")), "firsts")
     drop = found.join(first, "template").withColumn("drop", ~order.eqNullSafe(F.col("first")))
     by_doc = drop.groupBy("id", "same").agg(F.count("*").cast("int").alias("n_recurring"), F.sum(F.when(F.col("drop"), F.col("words")).otherwise(0)).alias("lost"), F.collect_list(F.when(F.col("drop"), F.col("pos"))).alias("at"))
     marked = by_doc.select(F.col("id").alias("__id"), F.col("same").alias("__same"), "n_recurring", "lost", "at")
