@@ -26,6 +26,8 @@ from .components import components
 SEED = 42
 BLOCK = 1 << 16
 NEAR, WIDE = 8, 4096
+#: Comparisons held at once in a crowded bin.
+CELLS = 1 << 21
 
 
 def simhash(text: str | None, words: int = 3) -> int:
@@ -93,7 +95,7 @@ def _forest(fps: np.ndarray, bits: int) -> tuple[list, list]:
 
 
 def _split(fps: np.ndarray, bits: int) -> tuple[list, list]:
-    """For a crowded anchor: fingerprints within `bits` agree in one of bits + 1 equal pieces; those bins are compared in blocks."""
+    """For a crowded anchor: fingerprints within `bits` agree in one of bits + 1 equal pieces; a bin that is itself crowded is searched in blocks."""
     a, b = [], []
     edges = np.linspace(0, 64, bits + 2).astype(int)
     for low, high in zip(edges[:-1], edges[1:], strict=True):
@@ -106,13 +108,30 @@ def _split(fps: np.ndarray, bits: int) -> tuple[list, list]:
                 a += x
                 b += y
                 continue
-            for i in range(0, len(group), 512):
-                for j in range(i, len(group), 512):
-                    left, right = group[i : i + 512], group[j : j + 512]
-                    x, y = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= bits)
-                    keep = np.unique(y, return_index=True)[1] if i != j else np.flatnonzero(x < y)
-                    a.append(left[x[keep]])
-                    b.append(right[y[keep]])
+            x, y = _spread(group, bits)
+            a += x
+            b += y
+    return a, b
+
+
+def _spread(fps: np.ndarray, bits: int) -> tuple[list, list]:
+    """Spanning forest as in _forest, for any number of fingerprints: the frontier advances in blocks of CELLS comparisons at most."""
+    a, b, rest = [], [], fps
+    while len(rest) > 1:
+        front, rest = [rest[:1]], rest[1:]
+        while front and len(rest):
+            block = front.pop()
+            step = max(1, CELLS // len(rest))
+            if len(block) > step:
+                front.append(block[step:])
+                block = block[:step]
+            near = np.bitwise_count(block[:, None] ^ rest[None, :]) <= bits
+            hit = near.any(axis=0)
+            if hit.any():
+                a.append(block[near[:, hit].argmax(axis=0)])
+                b.append(rest[hit])
+                front.append(rest[hit])
+                rest = rest[~hit]
     return a, b
 
 

@@ -294,6 +294,33 @@ def test_crowded_anchor_is_exact(monkeypatch):
     assert len({find(x) for x in fps}) == len(set(want))
 
 
+def test_crowded_bin_keeps_every_component(monkeypatch):
+    monkeypatch.setattr(simhash, "CELLS", 1 << 14, raising=False)
+    dice = np.random.default_rng(11)
+    seeds = dice.integers(0, 1 << 32, 2500, np.uint64)
+    flips = np.uint64(1) << dice.integers(0, 32, (2, 3500), np.uint64)
+    fps = np.unique(np.concatenate((seeds, dice.choice(seeds, 3500) ^ flips[0] ^ flips[1])))  # one half is constant
+    assert len(fps) > simhash.WIDE
+
+    def count(a, b):
+        root = {x: x for x in fps.tolist()}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            assert (x ^ y).bit_count() <= 3
+            root[find(x)] = find(y)
+        return len({find(x) for x in root})
+
+    x, y = zip(*[(np.repeat(fps[i], len(near)), fps[near]) for i in range(len(fps)) if len(near := np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= 3))], strict=True)
+    a, b = simhash._forest(fps, 3)
+    assert count(np.concatenate(a), np.concatenate(b)) == count(np.concatenate(x), np.concatenate(y))
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
