@@ -1,6 +1,7 @@
 """Token-id files: canonical length-limited Huffman codes, in blocks that decode on their own.
 
-A file set is a Parquet table `blocks`, one row per block of about BLOCK ids of whole documents in ascending id order,
+A file set is a Parquet table `blocks`, one row per block of about BLOCK ids of whole documents in ascending id order
+(of one partition of the writer; its files hold the blocks in ascending order of row, too),
 and a Parquet table `code` with the length of each id's code (package-merge over the global counts, at most LIMIT
 bits; canonical codes follow from the lengths). A block's payload holds its documents' ids and token counts, the bit
 offset of every STRIDE-th token, and the bits. Decoding walks all stretches between checkpoints at once, one table
@@ -140,6 +141,9 @@ def write(tokens: DataFrame, path: str, vocabulary: int, limit: int = LIMIT) ->
         for part in parts:
             null = part["doc_id"].isna()
             for row, doc, raw in zip(part["row"], part["doc_id"].astype("Int64").where(~null, NULL_ID), part["ids"], strict=True):
+                if rows and int(row) >> 33 != first >> 33:  # one task may read several stored partitions, in any order
+                    yield block()
+                    rows, ids, held = [], [], 0
                 first = first if rows else int(row)
                 rows.append((int(doc), len(raw) // 2))
                 ids.append(raw)
@@ -150,7 +154,9 @@ def write(tokens: DataFrame, path: str, vocabulary: int, limit: int = LIMIT) ->
         if rows:
             yield block()
 
-    tokens.select("row", "doc_id", "ids").mapInPandas(encode, "row long, n_ids long, payload binary").write.parquet(f"{path}/blocks")
+    blocks = tokens.select("row", "doc_id", "ids").mapInPandas(encode, "row long, n_ids long, payload binary")
+    parts = (tokens.agg(F.max("row")).first()[0] or 0) >> 33
+    blocks.repartitionById(parts + 1, F.shiftright("row", 33).cast("int")).sortWithinPartitions("row").write.parquet(f"{path}/blocks")
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:

@@ -98,6 +98,23 @@ def test_token_files_read_back(spark, odd, empty, whole, tmp_path, monkeypatch):
         at += len(r["ids"]) // 4
 
 
+def test_many_small_partitions_keep_the_order(spark, tmp_path, monkeypatch):
+    dice = np.random.default_rng(5)
+    rows = [(part << 33 | k, 1000 * part + k, dice.integers(0, 50, int(dice.integers(1, 40))).astype("<u2").tobytes()) for part in range(40) for k in range(int(dice.integers(1, 30)))]
+    frame = spark.createDataFrame([(r >> 33, r, d, bytearray(i)) for r, d, i in rows], "part int, row long, doc_id long, ids binary")
+    frame.repartition(40, "part").sortWithinPartitions("row").drop("part").write.parquet(f"{tmp_path}/tokens")
+    huffman.write(spark.read.parquet(f"{tmp_path}/tokens"), f"{tmp_path}/files", 50)
+    got = {r["doc_id"]: (r["start"], len(r["ids"]) // 4) for r in huffman.read_back(spark, f"{tmp_path}/files").collect()}
+    at = 0
+    for _, doc, raw in rows:
+        assert got[doc] == (at, len(raw) // 2)
+        at += len(raw) // 2
+    blocks = spark.read.parquet(f"{tmp_path}/files/blocks").withColumn("file", F.input_file_name()).collect()
+    assert [r["row"] for r in sorted(blocks, key=lambda r: r["file"])] == sorted(r["row"] for r in blocks)
+    for r in blocks:
+        assert len({d // 1000 for d in np.frombuffer(r["payload"], "<i8", int.from_bytes(r["payload"][4:8], "little"), 20).tolist()}) == 1
+
+
 def _check_packing(pieces, capacity=packing.CAPACITY):
     by = defaultdict(list)
     for r in pieces:
