@@ -39,20 +39,28 @@ def candidates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return written(lines.join(written(leaves, "leaves"), "leaf", "left_semi").withColumn("line", F.xxhash64("leaf", "tokens")), "candidates")
 
 
+def _supported(rows: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
+    """The keys with at least `min_docs` distinct documents (docs: of one row; some: which), grouped by document first."""
+    each = rows.select(*keys, "docs", F.explode("some").alias("same")).groupBy(*keys, "same").agg(F.max("docs").alias("docs"))
+    return each.groupBy(*keys).agg(F.greatest(F.count("*"), F.max("docs")).alias("support")).filter(F.col("support") >= min_docs).select(*keys)
+
+
 def templates(lines: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """(line, template): a hash of each line's tokens and of its template, for lines whose template recurs.
 
-    A line counts once per document.
+    Documents are counted, not lines: a document with several lines of a template is one. A line that min_docs documents
+    have is enough by itself; of any other line all documents are known by `some`, so the counts are exact up to min_docs.
     """
-    own = written(lines.select("leaf", "line", "tokens", "same").distinct().groupBy("leaf", "line", "tokens").agg(F.count("*").alias("docs")), "lines")
-    places = own.select("leaf", "line", "docs", F.posexplode("tokens").alias("pos", "token"))
-    kept = places.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).filter((F.col("support") >= min_docs) & (F.col("token") != VARIABLE)).select("leaf", "pos", "token", F.lit(True).alias("fixed"))
+    some = F.array_distinct(F.array(F.min("same"), F.max("same"))) if min_docs <= 3 else F.collect_set("same")
+    own = written(lines.select("leaf", "line", "tokens", "same").distinct().groupBy("leaf", "line", "tokens").agg(F.count("*").alias("docs"), some.alias("some")), "lines")
+    places = own.select("leaf", "line", "docs", "some", F.posexplode("tokens").alias("pos", "token"))
+    kept = _supported(places.filter(F.col("token") != VARIABLE), ["leaf", "pos", "token"], min_docs).withColumn("fixed", F.lit(True))
     fixed = places.join(kept, ["leaf", "pos", "token"], "left")
     field = F.struct("pos", F.when(F.col("fixed"), F.col("token")).otherwise(VARIABLE).alias("token"))
-    general = fixed.groupBy("line", "leaf").agg(F.sort_array(F.collect_list(field)).alias("fields"), F.first("docs").alias("docs"), F.count("fixed").alias("constants"), F.count("*").alias("n"))
+    general = fixed.groupBy("line", "leaf").agg(F.sort_array(F.collect_list(field)).alias("fields"), F.first("docs").alias("docs"), F.first("some").alias("some"), F.count("fixed").alias("constants"), F.count("*").alias("n"))
     sure = (F.col("constants") == F.col("n")) | (F.col("constants") >= F.greatest(constant * F.col("n"), F.lit(float(LEAST_CONSTANT))))
-    named = written(general.filter(sure).select("line", "docs", F.xxhash64("leaf", "fields").alias("template")), "templates")
-    common = named.groupBy("template").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("template")
+    named = written(general.filter(sure).select("line", "docs", "some", F.xxhash64("leaf", "fields").alias("template")), "templates")
+    common = _supported(named, ["template"], min_docs)
     return named.join(common, "template", "left_semi").select("line", "template")
 
 

@@ -143,6 +143,13 @@ def test_line_templates(spark):
     assert {r["lines"]["n_dropped"] for r in twice.collect()} == {0}  # exact copies count once
 
 
+def test_lines_of_one_document_count_once(spark):
+    own = ["I went to the shop.", "I went to the park.", "I went to the market."]
+    rows = [(0, "\n".join([*own, *[f"own words {w} of zero" for w in "abc"]])), (1, "I went to see Ann.\nBut Ann was out of town today"), (2, "I went to see Bob.\nThen Bob left by the next train")]
+    got = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: r["text"] for d, r in got.items()} == dict(rows)
+
+
 def test_lines_of_odd_and_empty_tables(spark, odd, empty):
     got = lines.dedup_lines(odd)
     assert got.columns == [*odd.columns, "lines"] and got.count() == odd.count()
