@@ -4,8 +4,9 @@ A line goes down a tree of fixed depth: first by its number of tokens, then by i
 digit count as variable. In each leaf a position keeps the tokens that at least `min_docs` documents have there; all
 other tokens are variable fields. The line with its variable fields generalised is its template. A template recurs if
 at least `min_docs` documents with different texts have lines of it and enough of it is constant. Its first line (least
-document id, then position) stays, the others are dropped. A document that would lose more than `most` of its words is
-no document with boilerplate but a copy: it stays whole, for a document-level stage to judge.
+document id, then position) stays, the others are dropped. A document that would lose more than `most` of its words stays
+whole only if it is proven to be a copy, for a document-level stage to judge: one other document must have the same
+text or hold nearly all words of both (see COPY). Shared passages never make a copy, whatever their share of the text.
 """
 
 from __future__ import annotations
@@ -16,17 +17,22 @@ from pyspark.sql import functions as F
 from .common import read, written
 
 DEPTH, MIN_DOCS, CONSTANT, LEAST_CONSTANT, MOST = 3, 3, 0.7, 4, 0.5
+#: A copy shares COPY * most of the words of the longer document with one other: 8/9, a Jaccard of 0.8 if lengths are equal.
+COPY = 16 / 9
+WORD = r"[^\x20\x09-\x0D]+"
 VARIABLE, SALT = "<*>", 64
 
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(id, same, pos, tokens, leaf): the lines of every text that aren't blank; `same` is a hash of the text.
+    """(id, same, total, pos, tokens, leaf): the lines of every text that aren't blank; `same` is a hash of the text, `total` its words.
 
     Tokens stand between white space; those with a digit are replaced. One column a step, so that each is computed once.
     """
-    split = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("same"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("pos", "line"))
-    plain = split.select("id", "same", "pos", F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")).alias("plain")).filter("plain <> ''")
-    tokens = plain.select("id", "same", "pos", F.split(F.regexp_replace("plain", r"[^ ]*[0-9][^ ]*", VARIABLE), " ").alias("tokens"))
+    text = F.col(f"`{text_col}`")
+    parts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("same"), F.regexp_count(text, F.lit(WORD)).alias("total"), F.split(text, "\n").alias("parts"))
+    split = parts.select("id", "same", "total", F.posexplode("parts").alias("pos", "line"))
+    plain = split.select("id", "same", "total", "pos", F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")).alias("plain")).filter("plain <> ''")
+    tokens = plain.select("id", "same", "total", "pos", F.split(F.regexp_replace("plain", r"[^ ]*[0-9][^ ]*", VARIABLE), " ").alias("tokens"))
     return tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)))
 
 
@@ -69,22 +75,28 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     Null texts stay null and empty ones empty (no lines with tokens); blank lines are never dropped. Null ids come
     after all others when the first line is chosen. Rows that share id and text are treated alike. A document of
-    nothing but recurring lines stays whole (see `most`), so no text becomes empty. An empty table gives an empty one.
+    nothing but recurring lines becomes empty, unless it is a copy (see `most`). An empty table gives an empty one.
     """
     lines = candidates(_lines(docs, text_col, id_col), min_docs)
     known = written(templates(lines, min_docs, constant), "recurring")
-    place = lines.select("id", "same", "pos", F.size("tokens").alias("words"), "line")
-    found = written(place.join(known, "line").select("template", "id", "same", "pos", "words").distinct(), "found")
-    order = F.struct(F.col("id").isNull(), "id", "same", "pos")
+    place = lines.select("id", "same", "total", "pos", F.size("tokens").alias("words"), "line")
+    found = written(place.join(known, "line").select("template", "id", "same", "total", "pos", "words").distinct(), "found")
+    order = F.struct(F.col("id").isNull(), "id", "same", "pos", "total")
     salted = found.groupBy("template", F.pmod(F.xxhash64("same"), F.lit(SALT)).alias("salt")).agg(F.min(order).alias("first"))
     first = written(salted.groupBy("template").agg(F.min("first").alias("first")), "firsts")
     drop = found.join(first, "template").withColumn("drop", ~order.eqNullSafe(F.col("first")))
-    by_doc = drop.groupBy("id", "same").agg(F.count("*").cast("int").alias("n_recurring"), F.sum(F.when(F.col("drop"), F.col("words")).otherwise(0)).alias("lost"), F.collect_list(F.when(F.col("drop"), F.col("pos"))).alias("at"))
-    marked = by_doc.select(F.col("id").alias("__id"), F.col("same").alias("__same"), "n_recurring", "lost", "at")
+    lost = F.when(F.col("drop"), F.col("words"))
+    held = drop.repartition("id", "same").groupBy("id", "same", "total", "template", "first").agg(F.count("*").alias("n"), F.sum(lost).alias("lost"), F.max(lost).alias("shared"), F.collect_list(F.when(F.col("drop"), F.col("pos"))).alias("at"))
+    source = F.struct("first.id", "first.same", F.col("first.total").alias("size")).alias("source")
+    by_source = held.withColumn("source", source).groupBy("id", "same", "total", "source").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"), F.sum("shared").alias("shared"), F.flatten(F.collect_list("at")).alias("at"))
+    near = F.coalesce(F.col("shared") > COPY * most * F.greatest("total", "source.size"), F.lit(False)) | (F.col("same") == F.col("source.same"))
+    other = ~F.struct("id", "same").eqNullSafe(F.struct("source.id", "source.same"))
+    by_doc = by_source.groupBy("id", "same", "total").agg(F.sum("n").cast("int").alias("n_recurring"), F.sum("lost").alias("lost"), F.max(near & other).alias("copy"), F.flatten(F.collect_list("at")).alias("at"))
+    spared = F.col("copy") & (F.col("lost") > most * F.col("total"))
+    marked = by_doc.select(F.col("id").alias("__id"), F.col("same").alias("__same"), "n_recurring", F.when(spared, F.array().cast("array<int>")).otherwise(F.col("at")).alias("at"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     met = row.withColumn("same", F.xxhash64("text")).join(marked, F.col("id").eqNullSafe(F.col("__id")) & (F.col("same") == F.col("__same")), "left")
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    at = F.when(F.coalesce(F.col("lost") <= most * words, F.lit(False)), F.col("at")).otherwise(F.array().cast("array<int>"))
+    at = F.coalesce("at", F.array().cast("array<int>"))
     cut = met.withColumn("at", at).withColumn("__lines", F.split("text", "\n"))
     left = F.when(F.size("at") == 0, F.col("text")).otherwise(F.array_join(F.expr("filter(__lines, (x, i) -> not array_contains(at, i))"), "\n"))
     facts = F.struct(F.coalesce(F.size("__lines"), F.lit(0)).alias("n_lines"), F.coalesce("n_recurring", F.lit(0)).alias("n_recurring"), F.size("at").alias("n_dropped"))

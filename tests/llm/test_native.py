@@ -150,6 +150,18 @@ def test_lines_of_one_document_count_once(spark):
     assert {d: r["text"] for d, r in got.items()} == dict(rows)
 
 
+def test_long_passage_of_short_documents_goes(spark):
+    passage = " ".join(f"shared{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(60))
+    own = [" ".join(f"own{chr(97 + i)}{chr(97 + j)}" for j in range(20)) for i in range(4)]
+    rows = [(i, f"{own[i]}\n{passage}") for i in range(4)] + [(4, passage), (5, f"{own[0]}\n{passage}")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: rows[0][1], 1: own[1], 2: own[2], 3: own[3], 4: "", 5: rows[5][1]}  # 5: an exact copy of 0
+    line = "\n".join(" ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(10)) for i in range(10))
+    copies = [(i, f"{line}\nend{chr(97 + i)}") for i in range(4)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(copies, "doc_id long, text string")).collect()}
+    assert got == dict(copies)  # copies of document 0, left to a document-level stage
+
+
 def test_lines_of_odd_and_empty_tables(spark, odd, empty):
     got = lines.dedup_lines(odd)
     assert got.columns == [*odd.columns, "lines"] and got.count() == odd.count()
