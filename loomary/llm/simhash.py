@@ -183,16 +183,17 @@ def links(fingerprints: DataFrame, bits: int = 3) -> DataFrame:
     return dealt.mapInPandas(_linker(bits), "a long, b long")
 
 
-def classes(docs: DataFrame, bits: int = 3, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
+def classes(docs: DataFrame, bits: int = 3, id_col: str = "doc_id", fp_col: str = "fp", roots: DataFrame | None = None) -> DataFrame:
     """`docs` (with fp_col) plus component_id, the least id_col that links reach, and root, a fingerprint that names the class.
 
     Null ids take no part in the minimum (a class of null ids only has component_id null). Repeated rows all stay and
     share a class. An empty table gives an empty one. Columns that clash with working names are safe: only id_col and
-    fp_col are read, and the joins add nothing but component_id and root (which must not be there yet).
+    fp_col are read, and the joins add nothing but component_id and root (which must not be there yet). `roots` (node,
+    root) replaces the components of the links within `bits`.
     """
     own = docs.select(F.col(fp_col).alias("fp"), F.col(id_col).alias("id"))
     nodes = written(own.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
-    roots = components(links(nodes.select("fp"), bits))
+    roots = components(links(nodes.select("fp"), bits)) if roots is None else roots
     linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = linked.filter("root <> fp").groupBy("root").agg(F.min("least").alias("below"))
     heads = linked.filter("root = fp").join(least, "root", "left").select("root", F.least("least", "below").alias("component_id"))
@@ -208,7 +209,11 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     names = docs.columns
     marked = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_col).alias("tie"), fingerprint_column(F.col(f"`{text_col}`"), words).alias("fp")), "marked")
-    known = classes(marked.select("id", "tie", "fp"), bits, "id")
+    return one_each(marked, classes(marked.select("id", "tie", "fp"), bits, "id"))
+
+
+def one_each(marked: DataFrame, known: DataFrame) -> DataFrame:
+    """The row of each class that near_dedup keeps; marked: (row, id, tie, fp), known: its classes."""
     first = known.filter(F.col("id").eqNullSafe(F.col("component_id")))
     one = first.groupBy("root").agg(F.min(F.struct("tie", "fp")).alias("m"), F.min("component_id").alias("k_id"))
     keep = one.select("k_id", F.col("m.tie").alias("k_tie"), F.col("m.fp").alias("k_fp"))

@@ -357,6 +357,29 @@ def test_one_of_each_class_stays(spark, odd, empty):
     assert sorted((r["doc_id"] for r in got.collect()), key=lambda d: (d is None, d or 0)) == ids
 
 
+def test_similar_documents_leave_the_pipeline(spark):
+    import corpus_pipeline
+
+    dice, texts = random.Random(4), []
+    for k in range(30):
+        words = [f"w{dice.randrange(5000)}" for _ in range(120)]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            for at in dice.sample(range(120), k % 5):
+                words[at] = f"n{dice.randrange(5000)}"
+            texts.append(" ".join(words))
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted(set(root)) and 30 < len(got) < len(texts)
+
+
 def test_template_language():
     render = chat.compile_template("{% set n = 'a' ~ 1 %}{% for m in messages %}{% if loop.first and not false %}[{{ m.x | upper }}]{% elif m['x'] in 'bc' %}{{ n }}{% else %}-{% endif %}{# remark #}{% endfor %}{{ messages | length }}", ("<<",))
     assert render([{"x": "q"}, {"x": "b"}, {"x": "z"}])[0] == "[Q]a1-3"
