@@ -3,13 +3,16 @@
 The tokenizer splits at white space and drops it, so the ids of a text are those of its chunks between spaces and line
 ends, one after the other. A chunk of Latin letters with closing punctuation is the word's ids, then the punctuation's;
 the word goes to the library's BPE model as the tokenizer's own steps would hand it over (lower case, bytes as
-characters). All other chunks go through the whole tokenizer. Both memories are bounded and are emptied when full.
+characters). All other chunks go through the whole tokenizer. The memory has two generations of at most GENERATION
+bytes: when the young one is full it becomes the old one, and chunks met again move back, so frequent ones stay.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +21,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNKS, WORDS = 700_000, 700_000
+GENERATION = 32 << 20
+#: What an entry takes besides its characters and ids: two objects and its share of the table.
+ENTRY = 190
+TAILS = 1000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -31,9 +37,9 @@ def _byte_characters() -> dict[int, str]:
 class ChunkTokenizer:
     """encode(text): ids as little-endian integers of `width` bytes."""
 
-    plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+    plain = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(string.punctuation)}]*)")
 
-    def __init__(self, path: str, width: int = 4):
+    def __init__(self, path: str, width: int = 4, generation: int = GENERATION):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -41,57 +47,66 @@ class ChunkTokenizer:
         self.model, self.kind = self.whole.model, np.dtype(f"<u{width}")
         if width < 4 and self.whole.get_vocab_size() > 1 << 8 * width:
             raise ValueError(f"ids do not fit {width} bytes")
+        self.code = next(c for c in "HIL" if array(c).itemsize == width)
         self.characters = _byte_characters()
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.generation, self.held = generation, 0
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        found = self.young.get(word) or self.old.get(word)
         if found is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
             raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
-            found = self.words[word] = self._ids([t.id for t in self.model.tokenize(raw)])
+            found = self._ids([t.id for t in self.model.tokenize(raw)])
+        return found
+
+    def _tail(self, tail: str) -> bytes:
+        found = self.tails.get(tail)
+        if found is None:
+            if len(self.tails) > TAILS:
+                self.tails = {"": b""}
+            found = self.tails[tail] = self._ids(self.whole.encode(tail, add_special_tokens=False).ids)
         return found
 
     def _parts(self, chunk: str) -> tuple[str, str] | None:
         """A word of Latin letters and the punctuation after it; None for any other chunk."""
         if chunk.isascii():
-            word = chunk.rstrip(".,:;!?")
+            word = chunk.rstrip(string.punctuation)
             return (word, chunk[len(word) :]) if word.isalpha() else None
         m = self.plain.fullmatch(chunk)
         return (m[1], m[2]) if m else None
 
     def _learn(self, new: set[str]) -> None:
-        rest = []
-        for chunk in new:
+        """Put the ids of all chunks in `new` into the young generation."""
+        young, old, rest = self.young, self.old, []
+        again = [c for c in new if c in old]
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        for chunk in new.difference(again) if again else new:
             parts = self._parts(chunk)
             if parts is None:
                 rest.append(chunk)
-                continue
-            word, tail = parts
-            if tail and tail not in self.tails:
-                self.tails[tail] = self._ids(self.whole.encode(tail, add_special_tokens=False).ids)
-                if len(self.tails) > 1000:
-                    self.tails = {tail: self.tails[tail]}
-            self.chunks[chunk] = self._word(word.lower()) + self.tails[tail] if tail else self._word(word.lower())
+            elif parts[1]:
+                young[chunk] = self._word(parts[0].lower()) + self._tail(parts[1])
+            else:
+                young[chunk] = self._word(parts[0].lower())
         if rest:
             for chunk, got in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                self.chunks[chunk] = self._ids(got.ids)
+                young[chunk] = self._ids(got.ids)
+        self.held += ENTRY * len(new) + sum(map(len, new)) + sum(map(len, map(young.__getitem__, new)))
 
     def encode(self, text: str | None) -> bytes:
         parts = (text or "").replace("\n", " ").split(" ")
-        if new := set(parts).difference(self.chunks):
-            if len(self.chunks) + len(new) > CHUNKS:
-                self.chunks = {"": b""}
+        if new := set(parts).difference(self.young):
+            if self.held > self.generation:
+                self.young, self.old, self.held = {"": b""}, self.young, 0
                 new = set(parts)
                 new.discard("")
             self._learn(new)
-        return b"".join(map(self.chunks.__getitem__, parts))
+        return b"".join(map(self.young.__getitem__, parts))
 
 
 _LOADED: dict[tuple[str, int], ChunkTokenizer] = {}

@@ -42,13 +42,13 @@ def test_any_text_gives_the_librarys_ids(text):
     assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.whole.encode(text, add_special_tokens=False).ids
 
 
-def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "CHUNKS", 20)
-    monkeypatch.setattr(tokens, "WORDS", 20)
-    own, fresh = tokens.ChunkTokenizer(PATH), tokens.ChunkTokenizer(PATH)
-    for k in range(30):
-        text = " ".join(f"word{chr(97 + k)}{chr(97 + j)}, again" for j in range(9))
-        assert own.encode(text) == fresh.encode(text) and len(own.words) <= 21
+def test_memory_is_bounded():
+    own, fresh = tokens.ChunkTokenizer(PATH, generation=3000), tokens.ChunkTokenizer(PATH)
+    for k in range(60):
+        text = " ".join(f"word{chr(97 + k % 26)}{chr(97 + j)}, again x{k}" for j in range(9))
+        assert own.encode(text) == fresh.encode(text)
+        assert max(len(own.young), len(own.old)) <= 3000 // tokens.ENTRY + 30
+    assert len(fresh.young) > 200
 
 
 @settings(max_examples=60, deadline=None)
