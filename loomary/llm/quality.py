@@ -5,7 +5,11 @@ for each stratum and each level of strictness, one cutoff per rule: the strictes
 documents would go, kept only where it removes bad documents LIFT times as often. The holdout half then tests the
 levels from the mildest on: a level is certified if the exact (Clopper-Pearson) upper bound on the share of good
 documents that it rejects is at most `risk`; testing stops at the first level that isn't. Tests within a stratum have a
-fixed sequence and so share one error; strata share `delta` by Bonferroni. The last certified level holds.
+fixed sequence and so share one error; strata share `delta` by Bonferroni. Of the certified levels the mildest holds
+that catches ENOUGH of the bad tuning documents that the last one catches; it rejects no document that the last keeps.
+
+A stratum needs log(delta / strata) / log(1 - risk) good holdout labels for its first certificate: 86 with four strata,
+risk 0.05 and delta 0.05. A stratum with fewer labels keeps what the base rules keep.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ WINDOW = 3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 LEVELS = (0.0, 0.0002, 0.0005, 0.001, 0.002, 0.004, 0.008)
-LIFT = 3.0
+LIFT, ENOUGH = 3.0, 0.98
 #: rule: SQL over the measured columns, and the grid of cutoffs from mild to strict; a document fails where its value is above.
 RULES = {
     "symbols": ("n_symbols / greatest(n_words, 1)", [2.0, 1.0, 0.5, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02]),
@@ -67,7 +71,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the struct column `measures` (MEASURES) of each whole text."""
+    """`docs` with the struct column `measures` (MEASURES) of each whole text; a column of that name is replaced."""
 
     @F.pandas_udf(MEASURES)
     def measures(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -127,11 +131,12 @@ def _fails(level: int | None) -> F.Column:
     return F.coalesce(F.array_max(F.array(*[F.coalesce(x, F.lit(False)) for x in at])), F.lit(False))
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id", label_col: str = "quality", risk: float = 0.005, delta: float = 0.05) -> DataFrame:
-    """One row per stratum: stratum, level (certified; null: none), bound, and cut_<rule> (null: off).
+def calibrate(scored: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id", label_col: str = "quality", risk: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """One row per stratum: stratum, level (null: none certified), bound (of the last certified level, which holds for all
+    milder ones), and cut_<rule> (null: off).
 
-    `scored` has `measures`; `labels` has id_col and label_col (1 good, 0 bad, else ignored; an id labelled both ways
-    counts as bad). All labelled documents count. Without labels nothing is certified and nothing is rejected.
+    `scored` has `measures`; an id that repeats in it counts as often as it occurs; `labels` has id_col and label_col (1 good, 0 bad, else ignored; an id labelled both ways
+    counts as bad). All labelled documents count. Without labels, or with an empty table, nothing is certified and nothing is rejected.
     """
     marks = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("good"))
     slim = scored.select(F.col(f"`{id_col}`").alias("id"), stratum(stratum_col).alias("stratum"), *_values())
@@ -139,8 +144,10 @@ def calibrate(scored: DataFrame, labels: DataFrame, stratum_col: str = "lang", i
     sums = [F.sum((F.col(f"value_{r}") > c).cast("long")).alias(f"{r}_{k}") for r, (_, grid) in RULES.items() for k, c in enumerate(grid)]
     tuned = known.filter("holdout = 0").groupBy("stratum", "good").agg(F.count("*").alias("n"), *sums)
     paths = written(tuned.groupBy("stratum").applyInPandas(_paths, "stratum string, " + ", ".join(f"{c} array<double>" for c in _names("cuts"))), "paths")
-    lost = [F.sum(_fails(k).cast("long")).alias(f"lost_{k}") for k in range(len(LEVELS))]
-    held = known.filter("holdout = 1 and good = 1").join(paths, "stratum").groupBy("stratum").agg(F.count("*").alias("n"), *lost)
+    good, bad = F.expr("holdout = 1 and good = 1"), F.expr("holdout = 0 and good = 0")
+    lost = [F.count_if(good & _fails(k)).alias(f"lost_{k}") for k in range(len(LEVELS))]
+    caught = [F.count_if(bad & _fails(k)).alias(f"caught_{k}") for k in range(len(LEVELS))]
+    held = known.join(paths, "stratum").groupBy("stratum").agg(F.count_if(good).alias("n"), *lost, *caught)
     share = delta / max(paths.count(), 1)
 
     @F.pandas_udf("level int, bound double")
@@ -152,10 +159,12 @@ def calibrate(scored: DataFrame, labels: DataFrame, stratum_col: str = "lang", i
                 if (p := upper_bound(row[f"lost_{k}"], row["n"], share)) > risk:
                     break
                 level, bound = k, p
+            if level is not None:
+                level = next(k for k in range(level + 1) if row[f"caught_{k}"] >= ENOUGH * row[f"caught_{level}"])
             out.append((level, bound))
         return pd.DataFrame(out, columns=["level", "bound"]).astype({"level": "Int32", "bound": "float64"})
 
-    chosen = held.select("stratum", certified(F.struct("n", *[f"lost_{k}" for k in range(len(LEVELS))])).alias("c")).select("stratum", "c.level", "c.bound")
+    chosen = held.select("stratum", certified(F.struct("n", *[f"{x}_{k}" for x in ("lost", "caught") for k in range(len(LEVELS))])).alias("c")).select("stratum", "c.level", "c.bound")
     cuts = [F.element_at(F.col(f"cuts_{r}"), F.col("level") + 1).alias(f"cut_{r}") for r in RULES]
     return written(paths.join(chosen, "stratum").select("stratum", "level", "bound", *cuts), "cutoffs")
 
@@ -166,7 +175,7 @@ def stratum(column: str) -> F.Column:
 
 
 def decide(scored: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") -> DataFrame:
-    """`scored` plus `verdict`, a struct of base_failed, kept and level.
+    """`scored` plus `verdict` (a column of that name is replaced), a struct of base_failed, kept, level and bound.
 
     The table of cutoffs has a row per stratum and is read from files, so Spark knows its size and broadcasts it only
     below its threshold.
@@ -177,7 +186,7 @@ def decide(scored: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") ->
     value = dict(zip(RULES, _values(), strict=True))
     fails = [F.coalesce(value[r] > F.col(f"__cuts.cut_{r}"), F.lit(False)) for r in RULES]
     kept = ~base & ~F.array_contains(F.array(*fails), True)
-    return met.withColumn("verdict", F.struct(base.alias("base_failed"), kept.alias("kept"), F.col("__cuts.level").alias("level"))).drop("__stratum", "__cuts")
+    return met.withColumn("verdict", F.struct(base.alias("base_failed"), kept.alias("kept"), F.col("__cuts.level").alias("level"), F.col("__cuts.bound").alias("bound"))).drop("__stratum", "__cuts")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
@@ -185,4 +194,4 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     scored = written(measured(docs).drop("text"), "measured")
     rules = decide(scored, calibrate(scored, read(spark, sf_dir, "labels")))
-    return rules.select("doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "verdict.base_failed", "verdict.kept", "verdict.level")
+    return rules.select("doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "verdict.base_failed", "verdict.kept", "verdict.level", "verdict.bound")
