@@ -3,8 +3,9 @@
 Pieces shorter than a sequence are dealt by a hash into blocks of about BLOCK. Each block is evolved on ISLANDS
 islands, each a task of its own with a population of packings: crossover injects whole well-filled bins of one parent
 into the other, bins that hold a duplicate are removed, and the documents that this displaces are best-fitted, largest
-first. After each epoch the best packing of each island migrates to the next. Bins of a block that stay below FULL are
-opened again, and their pieces, a small share, are packed across blocks in the next round, until one block is left.
+first. After each epoch the best packing of each island migrates to the next. Bins of a block that stay below the first of
+FLOORS are opened again, and their pieces, a small share, are packed across blocks in the next round, until one block is
+left; where that would open most pieces again, a lower floor holds, so in the end the last bins of all blocks meet.
 An island stops when it has reached the least possible number of bins.
 """
 
@@ -23,6 +24,7 @@ from .tokens import token_ids
 CAPACITY = 2048
 BLOCK, ISLANDS, EPOCHS, CHILDREN, POPULATION = 4096, 2, 3, 8, 4
 FULL, STUCK = 0.998, 0.7
+FLOORS = (FULL, 0.99, 0.97, 0.9, 0.75, 0.5)
 STATE = "block int, island int, rows binary, sizes binary, packings array<binary>"
 
 
@@ -186,10 +188,12 @@ def pack(pieces: DataFrame, row: str = "row", length: str = "length", capacity:
         blocks = -(-n // block)
         packed = _round(rest, blocks, level, capacity, islands, epochs)
         sequence = F.lit(level << 56) + F.col("block").cast("long") * F.lit(1 << 24) + F.col("bin")
-        open_, before = F.col("fill") < FULL * capacity, n
-        n = packed.filter(open_).count()
-        if blocks == 1 or n > STUCK * before:  # the last block, or bins that can't be filled: they stay as they are
+        below = packed.agg(*[F.count_if(F.col("fill") < x * capacity) for x in FLOORS]).first()
+        floor = next((k for k, left in enumerate(below) if left <= STUCK * n), None)
+        if blocks == 1 or floor is None:  # the last block, or bins that can't be filled: they stay as they are
             n, open_ = 0, F.lit(False)
+        else:
+            n, open_ = below[floor], F.col("fill") < FLOORS[floor] * capacity
         placed = placed.unionByName(packed.filter(~open_).select("row", sequence.alias("sequence_id"), "offset"))
         rest, level = packed.filter(open_).select("row", "length"), level + 1
     return placed
