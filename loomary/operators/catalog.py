@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, joined_text, normalize_text, stem
+from ..shared import numbered
 
 
 def export(images: DataFrame, *stores: tuple[DataFrame, dict[str, str]], key: str = "path") -> DataFrame:
@@ -52,17 +53,22 @@ def apply_edits(store: DataFrame, edits: DataFrame, fields: list[str], overwrite
 
 
 def batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    """`df` plus batch_index: runs of `size` rows in order.
-
-    Positions come from a range partition and per-partition offsets, so no task orders the whole table.
-    """
+    """`df` plus batch_index: runs of `size` rows in order; among equal keys rows go by a hash. No task orders the whole table."""
     if size < 1:
         raise ValueError("a batch has one row at least")
-    dealt = df.repartitionByRange(F.col(order)).withColumn("p", F.spark_partition_id())
-    counts = dealt.groupBy("p").agg(F.count("*").alias("n"))
-    before = counts.select(F.col("p").alias("q"), F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = dealt.withColumn("rn", F.row_number().over(Window.partitionBy("p").orderBy(order))).join(F.broadcast(before), F.col("p") == F.col("q"))
-    return ranked.withColumn("batch_index", F.expr(f"(before + rn - 1) div {size}")).drop("p", "q", "rn", "before")
+    return numbered(df, [order], "batch_index").withColumn("batch_index", F.expr(f"batch_index div {size}"))
+
+
+def export_batches(images: DataFrame, done: DataFrame, size: int, limit: int = 0, overwrite: bool = False, key: str = "path") -> tuple[DataFrame, DataFrame]:
+    """Images still to be annotated, in batches, and one row of batches, images and skipped_captioned.
+
+    The skipped count is that of all captioned paths, also of those whose image is gone.
+    """
+    left = images if overwrite else images.join(done.select(key).distinct(), key, "left_anti")
+    left = left.orderBy(key).limit(limit) if limit > 0 else left
+    out = batches(left, key, size)
+    counts = out.agg(F.count_distinct("batch_index").alias("batches"), F.count("*").alias("images"))
+    return out, counts.crossJoin(done.agg(F.count_distinct(key).alias("skipped_captioned")))
 
 
 def validate_external(rows: DataFrame, key: str, line: str) -> DataFrame:
@@ -72,6 +78,33 @@ def validate_external(rows: DataFrame, key: str, line: str) -> DataFrame:
     return rows.withColumn("problem", F.when(blank, F.lit("missing path")).when(rank > 1, F.lit("duplicate path")))
 
 
+def external_item(path: Column, caption: Column, raw: Column, top: dict[str, Column], model: Column, fields: list[str]) -> dict[str, Column]:
+    """Columns of one external record: the stripped path, the fields (of the caption, if that is an object, else of the
+    top level) with blanks filled, the joined text, and the model. `raw` is the caption's JSON text."""
+    nested = F.coalesce(F.ltrim(raw).startswith("{"), F.lit(False))
+    value = {f: normalize_text(F.when(nested, caption[f]).otherwise(top[f])) for f in fields}
+    filled = {f: F.coalesce(F.nullif(v, F.lit("")), F.lit("NONE")) for f, v in value.items()}
+    return {"path": normalize_text(path), "model": model, **filled, "semantic_text": joined_text(list(filled.values()))}
+
+
+def validation_summary(checked: DataFrame, line: str) -> DataFrame:
+    """One row over validate_external's rows: valid (a number) and errors, ordered by line.
+
+    The list holds problems only, which are for people to mend; it is made of (line, problem) pairs.
+    """
+    found = F.array_sort(F.collect_list(F.when(F.col("problem").isNotNull(), F.struct(F.col(line).cast("long").alias("line"), "problem"))))
+    return checked.agg(F.count_if(F.col("problem").isNull()).alias("valid"), found.alias("errors"))
+
+
+def guarded_merge(existing: DataFrame, incoming: DataFrame, key: str, line: str, overwrite: bool) -> DataFrame:
+    """merge_external, unless any incoming row has a problem: then ValueError names the first ones, and nothing is merged."""
+    checked = validate_external(incoming, key, line)
+    bad = checked.filter(F.col("problem").isNotNull()).orderBy(line).select(line, "problem").limit(20).collect()
+    if bad:
+        raise ValueError("; ".join(f"line {r[0]}: {r[1]}" for r in bad))
+    return merge_external(existing, incoming.drop(line), key, overwrite)
+
+
 def merge_external(existing: DataFrame, incoming: DataFrame, key: str, overwrite: bool) -> DataFrame:
     """The merged store with `outcome`: kept, skipped (existing wins), replaced or added. Existing rows without key go; keys
     are unique on both sides (keep the last row of each first)."""
@@ -109,6 +142,11 @@ def resolve(items: DataFrame, key: str, path: Column, code: Column, files: DataF
     return met.withColumn("source", F.coalesce(*outs)).withColumn("found_by", found).select(*items.columns, "source", "found_by")
 
 
+def missing_examples(resolved: DataFrame, position: str, n: int = 10) -> DataFrame:
+    """The first n items without a file, in order of position."""
+    return resolved.filter(F.col("source").isNull()).orderBy(position).limit(n)
+
+
 def pack_profile(items: DataFrame, available: Column, downloaded: Column, size: Column) -> DataFrame:
     """One row of counts over a pack's items."""
     return items.agg(

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hamming
+from ..functions.hashing import from_hex, hamming
 from ..functions.text import safe_int
+from ..shared import numbered, written
+
+BLOCK = 4096
+#: Default thresholds by encoder (average linkage on cosine distance; Ward on standardised features).
+COSINE_THRESHOLD, WARD_THRESHOLD = 0.18, 2.4
 
 
 def hamming_pairs(hashes: DataFrame, key: str, code: str, bound: int = 4) -> DataFrame:
@@ -25,41 +32,51 @@ def hamming_pairs(hashes: DataFrame, key: str, code: str, bound: int = 4) -> Dat
     return both.select(F.least("x", "y").alias("left_key"), F.greatest("x", "y").alias("right_key"), "distance").distinct()
 
 
-def code_pairs(codes: DataFrame, bound: int) -> DataFrame:
-    """(c1, c2, distance) of distinct codes `c` within `bound` bits, c1 below c2."""
-    edges = np.linspace(0, 64, bound + 2).astype(int).tolist()
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("c", low).bitwiseAND(F.lit((1 << (high - low)) - 1)).alias("value")) for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
-    dealt = codes.select("c", F.explode(bands).alias("b")).select("c", "b.band", "b.value")
+def code_pairs(codes: DataFrame, bound: int, equal: int = 3) -> DataFrame:
+    """(c1, c2, distance) of distinct codes `c` within `bound` bits, c1 below c2.
+
+    The 64 bits are cut into bound + `equal` bands. Two codes that close differ in `bound` bands at most, so they agree
+    in `equal` others: all choices of so many bands are keys, each of some 64 * equal / (bound + equal) bits (27 for 4
+    bits), which keeps the candidates of a key few at any number of codes. The exact distance decides.
+    """
+    edges = np.linspace(0, 64, bound + equal + 1).astype(int).tolist()
+    masks = [((1 << (high - low)) - 1) << low for low, high in zip(edges[:-1], edges[1:], strict=True)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    keys = [F.xxhash64(F.lit(k), F.col("c").bitwiseAND(F.lit(signed(sum(chosen))))) for k, chosen in enumerate(combinations(masks, equal))]
+    dealt = codes.select("c", F.explode(F.array(*keys)).alias("key"))
     a, b = dealt.withColumnRenamed("c", "c1"), dealt.withColumnRenamed("c", "c2")
-    met = a.join(b, ["band", "value"]).filter(F.col("c1") < F.col("c2"))
+    met = a.join(b, "key").filter(F.col("c1") < F.col("c2"))
     return met.withColumn("distance", hamming(F.col("c1"), F.col("c2"))).filter(F.col("distance") <= bound).select("c1", "c2", "distance").distinct()
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root): the least node that each can reach over edges (a, b). Labels spread by their minimum and by following
-    roots, which halves the distance each round; every round is checkpointed to the session's checkpoint folder."""
-    sc = nodes.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomary-components-"))
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).filter("u <> v").distinct().checkpoint()
+    roots, which halves the distance each round; every round is written to the shared folder. Raises RuntimeError if
+    that doesn't settle."""
+    ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
+    both = written(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = nodes.select(F.col("node"), F.col("node").alias("root")).distinct()
     if both.isEmpty():
         return labels
-    touched = labels.join(both.select(F.col("u").alias("node")).distinct(), "node", "left_semi").checkpoint()
+    touched = written(labels.join(both.select(F.col("u").alias("node")).distinct(), "node", "left_semi"), "labels")
     for _ in range(rounds):
         near = both.join(touched.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
         hooked = touched.join(near, F.col("node") == F.col("u")).select("node", "root", F.least("root", "r").alias("low"))
         jump = hooked.select(F.col("node").alias("j"), F.col("low").alias("far"))
-        now = hooked.join(jump, F.col("low") == F.col("j")).select("node", F.col("root").alias("old"), F.least("low", "far").alias("root")).checkpoint()
-        moved = now.filter("root <> old").limit(1).count()
+        now = written(hooked.join(jump, F.col("low") == F.col("j")).select("node", F.col("root").alias("old"), F.least("low", "far").alias("root")), "labels")
         touched = now.select("node", "root")
-        if not moved:
+        if not now.filter("root <> old").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return nodes.select("node").distinct().join(touched, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def _named(groups: DataFrame, prefix: str, name: str) -> DataFrame:
+    """`groups` (unique in root) plus a name by the place of its root: prefix and four digits at least."""
+    return numbered(groups, ["root"], "__place").withColumn(name, F.format_string(f"{prefix}_%04d", "__place")).drop("__place")
+
+
 def near_duplicate_groups(hashes: DataFrame, key: str, code: str, bound: int = 4) -> DataFrame:
     """(key, root, near_duplicate_group, duplicate_group_size): classes of rows whose codes are linked within `bound` bits.
 
@@ -70,33 +87,45 @@ def near_duplicate_groups(hashes: DataFrame, key: str, code: str, bound: int = 4
     roots = components(code_pairs(codes, bound).select(F.col("c1").alias("a"), F.col("c2").alias("b")), codes.select(F.col("c").alias("node")))
     classed = rows.join(roots, F.col("c") == F.col("node")).select("key", F.col("root").alias("code_root"))
     groups = classed.groupBy("code_root").agg(F.min("key").alias("root"), F.count("*").alias("duplicate_group_size"))
-    named = groups.withColumn("near_duplicate_group", F.format_string("dup_%04d", F.dense_rank().over(Window.orderBy("root")) - 1))
+    named = _named(groups, "dup", "near_duplicate_group")
     return classed.join(named, "code_root").select(F.col("key").alias(key), "root", "near_duplicate_group", "duplicate_group_size")
 
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns to mean 0 and population deviation 1; a constant column becomes 0."""
+    """Columns to mean 0 and population deviation 1; a constant column becomes 0. No columns: nothing to do."""
+    if not columns:
+        return df
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
     met = df.crossJoin(F.broadcast(stats))
     z = {c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.coalesce(F.col(f"s_{c}"), F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"s_{c}")) for c in columns}
     return met.select(*[z[c].alias(c) if c in z else F.col(c) for c in df.columns])
 
 
+def distances(x: np.ndarray, y: np.ndarray, method: str) -> np.ndarray:
+    """Cosine distances (average) or Euclidean ones (ward) between rows; one formula for the graph and for the merges."""
+    if method == "average":
+        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        return 1 - np.einsum("ik,jk->ij", unit(x), unit(y))
+    return np.stack([np.sqrt(((y - row) ** 2).sum(axis=1)) for row in x]) if len(x) else np.empty((0, len(y)))
+
+
 def linkage(x: np.ndarray, threshold: float, method: str) -> np.ndarray:
-    """Labels of agglomerative clustering cut below `threshold`: average linkage on cosine distance, or Ward on Euclidean."""
+    """Labels of agglomerative clustering cut below `threshold`: average linkage on cosine distance, or Ward on Euclidean.
+
+    Each row keeps its nearest other row, so a merge costs a pass over rows, not over the matrix; the matrix itself, which
+    the update formulas need, is 8 n^2 bytes. Among equal distances the first pair in row order merges first.
+    """
     n = len(x)
-    if method == "average":
-        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        d = 1 - unit @ unit.T
-    else:
-        d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0)) if n <= 512 else np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
+    d = distances(x, x, method)
     np.fill_diagonal(d, np.inf)
     size, label = np.ones(n), np.arange(n)
-    while n > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if not d[i, j] < threshold:
+    near = d.argmin(axis=1) if n else np.empty(0, np.int64)
+    least = d[np.arange(n), near]
+    for _ in range(n - 1):
+        i = int(least.argmin())
+        if not least[i] < threshold:
             break
-        i, j = min(i, j), max(i, j)
+        i, j = sorted((i, int(near[i])))
         a, b = size[i], size[j]
         if method == "average":
             new = (a * d[i] + b * d[j]) / (a + b)
@@ -107,20 +136,25 @@ def linkage(x: np.ndarray, threshold: float, method: str) -> np.ndarray:
         d[i, :] = d[:, i] = new
         d[j, :] = d[:, j] = np.inf
         size[i], label[label == label[j]] = a + b, label[i]
+        stale = np.flatnonzero((near == i) | (near == j) | (new < least) | ((new == least) & (near > i)))
+        stale = np.union1d(stale, [i, j])
+        near[stale] = d[stale].argmin(axis=1)
+        least[stale] = d[stale, near[stale]]
     return label
 
 
-def agglomerate(df: DataFrame, key: str, vector: str, threshold: float, method: str = "average", blocks: int = 8) -> DataFrame:
+def agglomerate(df: DataFrame, key: str, vector: str, threshold: float, method: str = "average", blocks: int | None = None) -> DataFrame:
     """(key, root, visual_cluster_id, cluster_size): exact agglomerative clusters.
 
     Merges below the threshold never leave a connected component of the graph of pairs below it, so components are
-    found first and each is clustered in a task of its own. The graph is an exact comparison of blocks of rows, block
-    by block; a component that doesn't fit a task's memory can't be clustered exactly (its distances alone grow with
-    the square of its size), which `linkage` then reports as a memory error.
+    found first and each is clustered in a task of its own. The graph is an exact comparison of all rows, in pairs of
+    blocks (of about BLOCK rows, unless `blocks` says how many); a task sends a spanning forest of its pairs, so there
+    are fewer links than rows in it. A component has to fit one task: 8 n^2 bytes for its distances.
     """
     if method not in ("average", "ward"):
         raise ValueError(f"unknown method {method}")
     rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = blocks or max(1, -(-rows.count() // BLOCK))
     side = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
     mine = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     pairs = side.withColumn("other", mine).select("key", "v", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
@@ -128,16 +162,16 @@ def agglomerate(df: DataFrame, key: str, vector: str, threshold: float, method:
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("key").sort_values("key")
         x, keys = np.array(pdf["v"].tolist()), pdf["key"].to_numpy()
-        out_a, out_b = [], []
-        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        for k in range(0, len(x), 512):
-            part = slice(k, k + 512)
-            d = 1 - unit[part] @ unit.T if method == "average" else np.sqrt(np.maximum((x[part] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[part] @ x.T, 0))
-            a, b = np.nonzero(d < threshold)
-            keep = a + k < b
-            out_a.append(keys[a[keep] + k])
-            out_b.append(keys[b[keep]])
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+        label, a, b = np.arange(len(x)), [], []
+        for at in range(0, len(x), 512):
+            near = distances(x[at : at + 512], x, method) < threshold
+            for row, hit in enumerate(near, at):
+                linked = np.unique(label[hit])
+                for other in linked[linked != label[row]]:  # another tree of the forest
+                    a.append(keys[label[row]])
+                    b.append(keys[other])
+                    label[label == other] = label[row]
+        return pd.DataFrame({"a": a, "b": b}, dtype=object if not a else None)
 
     kind = dict(df.dtypes)[key]
     edges = pairs.groupBy("p", "q").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
@@ -151,10 +185,35 @@ def agglomerate(df: DataFrame, key: str, vector: str, threshold: float, method:
 
     found = rows.join(roots, F.col("key") == F.col("node")).select("key", "v", "root").groupBy("root").applyInPandas(cut, f"key {kind}, root {kind}")
     sizes = found.groupBy("root").agg(F.count("*").alias("cluster_size"))
-    named = sizes.withColumn("visual_cluster_id", F.format_string("visual_%04d", F.dense_rank().over(Window.orderBy("root")) - 1))
+    named = _named(sizes, "visual", "visual_cluster_id")
     return found.join(named, "root").select(F.col("key").alias(key), "root", "visual_cluster_id", "cluster_size")
 
 
+def cluster_features(made: DataFrame, encoder: str = "handcrafted", threshold: float | None = None, bound: int = 4) -> DataFrame:
+    """Feature rows with visual_cluster_id, cluster_size, near_duplicate_group and duplicate_group_size; rows with an error
+    pass through without them. Vectors of a model go by average linkage on cosine distance, handcrafted features are
+    standardised and go by Ward. A single valid row is a cluster of its own; no valid row gives no clusters."""
+    fine = made.filter(F.col("error").isNull()).select("path", "feature", "dhash")
+    if encoder == "handcrafted":
+        width = fine.select(F.coalesce(F.max(F.size("feature")), F.lit(0))).first()[0]
+        wide = standardise(fine.select("path", *[F.get("feature", F.lit(i)).cast("double").alias(f"f{i}") for i in range(width)]), [f"f{i}" for i in range(width)])
+        vectors, method, limit = wide.select("path", F.array(*[f"f{i}" for i in range(width)]).cast("array<double>").alias("v")), "ward", WARD_THRESHOLD
+    else:
+        vectors, method, limit = fine.select("path", F.col("feature").cast("array<double>").alias("v")), "average", COSINE_THRESHOLD
+    visual = agglomerate(vectors, "path", "v", limit if threshold is None else threshold, method).select(F.col("path").alias("p1"), "visual_cluster_id", "cluster_size")
+    twins = near_duplicate_groups(fine.select("path", from_hex(F.col("dhash")).alias("code")), "path", "code", bound).select(F.col("path").alias("p2"), "near_duplicate_group", "duplicate_group_size")
+    return made.join(visual, F.col("path") == F.col("p1"), "left").join(twins, F.col("path") == F.col("p2"), "left").drop("p1", "p2")
+
+
+def cluster_counts(clustered: DataFrame) -> DataFrame:
+    """One row: valid records, visual clusters and near-duplicate groups (those of one image count)."""
+    return clustered.agg(
+        F.count("visual_cluster_id").alias("records"),
+        F.count_distinct("visual_cluster_id").alias("visual_clusters"),
+        F.count_distinct("near_duplicate_group").alias("near_duplicate_groups"),
+    )
+
+
 def representatives(rows: DataFrame, done: DataFrame, key: str = "path", cluster: str = "visual_cluster_id", size: str = "cluster_size", kind: str = "asset_type", least: int = 1, kinds: list[str] | None = None, overwrite: bool = False, limit: int = 0) -> DataFrame:
     """The first row (by key) of each cluster, largest clusters first. A cluster whose first row is done is left out."""
     sized = rows.withColumn("__size", safe_int(F.col(size).cast("string"))).filter(F.col("__size") >= least)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import image_url
+from ..functions.text import folder_name, image_url, sticker_name, suffix
+from ..schema import IMAGE_SUFFIXES
 
 
 def last_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -58,8 +59,8 @@ def import_plan(files: DataFrame, known: DataFrame, sha256: str, order: str, pre
     """Files in order with an action: imported, exists or skipped_duplicate. A limit counts imported rows only, and rows after
     it are left out.
 
-    `known`: hashes of the manifest. `present`: column `order` of files whose destination exists. The running count has one
-    order over all files and so one task, on three narrow columns; without a limit it isn't computed.
+    `known`: hashes of the manifest. `present`: column `order` of files whose destination exists. The order key is unique;
+    with a limit, the key of the last row that may be imported comes from a top-k, so nothing is numbered in one task.
     """
     seen = known.select(F.col(sha256).alias("k")).distinct().withColumn("known", F.lit(True))
     rank = F.row_number().over(Window.partitionBy(sha256).orderBy(order))
@@ -72,8 +73,47 @@ def import_plan(files: DataFrame, known: DataFrame, sha256: str, order: str, pre
     plan = met.withColumn("action", F.when(duplicate, "skipped_duplicate").when(exists, "exists").otherwise("imported")).drop("k", "known", "rn", "there")
     if limit <= 0:
         return plan
-    before = F.coalesce(F.sum(F.when(F.col("action") == "imported", 1).otherwise(0)).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return plan.withColumn("before", before).filter(F.col("before") < limit).drop("before")
+    top = plan.filter(F.col("action") == "imported").select(order).orderBy(order).limit(limit)
+    last = top.agg(F.when(F.count("*") == limit, F.max(order)).alias("__last"))  # one row
+    return plan.crossJoin(F.broadcast(last)).filter(F.col("__last").isNull() | (F.col(order) <= F.col("__last"))).drop("__last")
+
+
+def import_folder(files: DataFrame, manifest: DataFrame, folder: str, prefix: str, present: DataFrame | None = None, limit: int = 0, keep_duplicates: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The plan of a folder's import (source, sha256, length, destination, action), and one row of counters.
+
+    `files`: source, content, length. `present`: the column destination of files that exist. copy_files carries it out.
+    """
+    hashed = files.select("source", "length", F.sha2("content", 256).alias("sha256"))
+    named = hashed.withColumn("destination", F.concat(F.lit(folder.rstrip("/") + "/"), folder_name(F.col("source"), F.col("sha256"), prefix)))
+    there = named.join(present.select("destination").distinct(), "destination", "left_semi").select("source") if present is not None else None
+    plan = import_plan(named, manifest, "sha256", "source", there, limit, keep_duplicates)
+    return plan, _import_counts(plan)
+
+
+def import_pack(resolved: DataFrame, manifest: DataFrame, folder: str, present: DataFrame | None = None, limit: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The plan of a pack's import and one row of counters; `ok` is false where stickers were resolved and none is there.
+
+    `resolved`: position, sticker_id, md5, source (null: missing), sha256 (of the file). Missing files are left out of the plan.
+    """
+    found = resolved.filter(F.col("source").isNotNull())
+    named = found.withColumn("destination", F.concat(F.lit(folder.rstrip("/") + "/"), sticker_name(F.col("sticker_id"), F.col("md5"), F.col("source"))))
+    there = named.join(present.select("destination").distinct(), "destination", "left_semi").select("position") if present is not None else None
+    plan = import_plan(named, manifest, "sha256", "position", there, limit)
+    missing = resolved.agg(F.count_if(F.col("source").isNull()).alias("missing"))
+    counts = _import_counts(plan).crossJoin(missing)
+    return plan, counts.withColumn("ok", (F.col("missing") == 0) | (F.col("imported") + F.col("exists") > 0))
+
+
+def _import_counts(plan: DataFrame) -> DataFrame:
+    return plan.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("imported", "exists", "skipped_duplicate")], F.count("*").alias("total"))
+
+
+def uploads(files: DataFrame, at: Column) -> DataFrame:
+    """Uploaded files (path, content) with sha256 and the name they are stored by; `problem` where the type isn't known."""
+    hashed = files.withColumn("sha256", F.sha2("content", 256))
+    name = F.concat(F.unix_timestamp(at).cast("string"), F.lit("_"), F.substring("sha256", 1, 16), suffix(F.col("path")))
+    known = suffix(F.col("path")).isin(IMAGE_SUFFIXES)
+    return hashed.withColumn("name", F.when(known, name)).withColumn("problem", F.when(~known, F.lit("unsupported type")))
 
 
 def copy_files(plan: DataFrame, mode: str = "copy") -> None:

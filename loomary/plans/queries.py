@@ -124,7 +124,7 @@ def zero_shot_label(spark, d):
     df = table(spark, d, "embeddings")
     means = df.filter("label < 8").groupBy("label").agg(*[F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"c{i}") for i in range(64)]).orderBy("label").collect()  # eight rows
     found = search.zero_shot(df, "vec_id", "embedding", [(f"label_{r[0]}", list(r[1:])) for r in means], DIGITS)
-    return found.withColumn("margin", F.round("margin", DIGITS))
+    return found.withColumn("margin", F.round("margin", DIGITS)).drop("scores")
 
 
 # Text.

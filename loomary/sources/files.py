@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import re
 import shlex
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import path_order, suffix
-from ..schema import IMAGE_SUFFIXES, PACK
+from ..functions.text import normalize_caption, path_order, semantic_text, suffix
+from ..operators.stores import captioned, last_per_key
+from ..schema import CLUSTER_COLUMNS, IMAGE_SUFFIXES, PACK, VECTORS
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -45,6 +49,34 @@ def strict_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return lines.select(F.from_json("line", schema).alias("r"), "_line_number").select("r.*", "_line_number")
 
 
+def pack_images(spark: SparkSession, folder: str) -> DataFrame:
+    """A pack's stickers, as `images`; no rows without a stickers folder."""
+    own = f"{folder.rstrip('/')}/stickers"
+    if exists(spark, own):
+        return images(spark, own)
+    return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+
+
+def captions(spark: SparkSession, path: str, schema: T.StructType, fields: list[str]) -> DataFrame:
+    """Strict captions: a malformed line raises; (path, ordinal, fields .., semantic_text) of rows that are ok and have a path.
+    Repeated paths stay."""
+    rows = captioned(strict_jsonl(spark, path, schema))
+    caption = normalize_caption(F.col("caption"))
+    own = rows.select("path", (F.col("_line_number") - 1).alias("ordinal"), caption.alias("c"))
+    return own.select("path", "ordinal", *[F.col(f"c.{f}").alias(f) for f in fields], semantic_text(F.col("c")).alias("semantic_text"))
+
+
+def csv_by_path(spark: SparkSession, path: str, columns: list[str], key: str = "path") -> DataFrame:
+    """A CSV's last row per key, in file order; rows without key are left out."""
+    rows = csv(spark, path, columns).withColumn("_ordinal", F.monotonically_increasing_id())
+    return last_per_key(rows.filter(F.coalesce(F.col(key), F.lit("")) != ""), key, "_ordinal").drop("_ordinal")
+
+
+def cluster_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a cluster CSV that have a path and a cluster."""
+    return csv(spark, path, CLUSTER_COLUMNS).filter((F.coalesce("path", F.lit("")) != "") & (F.coalesce("visual_cluster_id", F.lit("")) != ""))
+
+
 def csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV with a header, all strings; a missing file has no rows."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -63,6 +95,8 @@ def pack(spark: SparkSession, folder: str) -> DataFrame:
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
     """A vector table; a missing validity counts as valid. Raises ValueError if a column is missing."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
     found = spark.read.parquet(path)
     missing = {"path", "ordinal", "field", "text", "vector"} - set(found.columns)
     if missing:
@@ -71,17 +105,71 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("valid", valid)
 
 
+def vectors_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    return vectors(spark, path) if exists(spark, path) else None
+
+
+def indexed_paths(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct paths of a vector table; none if it is missing."""
+    found = vectors_or_none(spark, path)
+    return (found if found is not None else empty_vectors(spark)).select("path").distinct()
+
+
+def empty_vectors(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], VECTORS)
+
+
+def features(spark: SparkSession, path: str) -> DataFrame:
+    """A feature table, as sinks.feature_table wrote it."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    return spark.read.parquet(path)
+
+
+#: The keys of an API's settings by priority, and their defaults.
+API_KEYS = {
+    "base_url": ["EMOJI_API_BASE_URL", "OPENAI_BASE_URL", "CHINAMOBILE_MAAS_BASE_URL"],
+    "api_key": ["EMOJI_API_KEY", "OPENAI_API_KEY", "API_KEY", "BAYES_API_KEY"],
+    "model": ["EMOJI_API_MODEL", "OPENAI_MODEL", "VISION_MODEL", "CHINAMOBILE_MAAS_MODEL"],
+}
+API_DEFAULTS = {"base_url": "https://api.openai.com/v1", "api_key": "", "model": "gpt-4o-mini"}
+_SETTING = re.compile(r"""\s*(?:export\s+)?(?P<key>[^#=\s][^=]*?)\s*=\s*(?P<value>.*?)\s*""", re.S)
+
+
+def setting(line: str) -> tuple[str, str] | None:
+    """(key, value) of a KEY=VALUE line, `export` before it or not; None for blank lines, remarks and others.
+
+    A value that starts with a quote is its first word as a shell reads it; any other is literal (backslashes too) up to
+    a blank with # after it.
+    """
+    m = _SETTING.fullmatch(line)
+    if not m:
+        return None
+    value = m["value"]
+    if value[:1] not in ("'", '"'):
+        return m["key"], value.partition(" #")[0].strip()
+    words = shlex.shlex(value, posix=True, punctuation_chars=False)
+    words.whitespace_split, words.commenters = True, ""
+    try:
+        return m["key"], words.get_token() or ""
+    except ValueError:  # an open quote
+        return m["key"], value.strip("'\"")
+
+
 def settings(path: str) -> dict[str, str]:
-    """KEY=VALUE lines of a local settings file: remarks, quotes and `export` understood, the last one wins."""
-    out: dict[str, str] = {}
+    """The settings of a local file; the last line of a key wins, and a missing file has none."""
+    if not os.path.exists(path):
+        return {}
     with open(path, encoding="utf-8") as f:
-        for line in map(str.strip, f):
-            key, eq, value = line.removeprefix("export ").partition("=")
-            if not line or line.startswith("#") or not eq:
-                continue
-            try:
-                words = shlex.split(value, comments=True)
-            except ValueError:
-                words = [value.strip()]
-            out[key.strip()] = " ".join(words)
-    return out
+        return dict(filter(None, map(setting, f)))
+
+
+def api_settings(values: dict[str, str], environment: Mapping[str, str]) -> dict[str, str]:
+    """base_url, api_key and model: for each the first key that is set in the environment or else in the file."""
+    return {name: next((v for k in keys if (v := environment.get(k) or values.get(k))), API_DEFAULTS[name]) for name, keys in API_KEYS.items()}
+
+
+def local_path(value: str | None, default: str, root: str) -> str:
+    """A path from a setting: `~` is the home folder, a relative one lies below root, a blank one is the default."""
+    chosen = os.path.expanduser(value or default)
+    return chosen if os.path.isabs(chosen) else os.path.join(root, chosen)

@@ -1,3 +1,7 @@
+import math
+import random
+import statistics
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -103,22 +107,142 @@ def test_representatives(spark):
     assert names(clusters.representatives(df, done, overwrite=True, limit=2)) == ["b", "a"]
 
 
-def test_features(spark):
+def _plain(img: np.ndarray, small: np.ndarray, width: int, height: int) -> list[float]:
+    """The 34 features pixel by pixel."""
+    n = img.shape[0]
+    out = []
+    for c in range(3):
+        hist = [0] * 8
+        for v in img[..., c].ravel():
+            hist[min(int(v * 8), 7)] += 1
+        out += [h / n**2 for h in hist]
+    light = [[0.299 * p[0] + 0.587 * p[1] + 0.114 * p[2] for p in row] for row in img]
+    satur = [(max(p) - min(p)) / max(p) if max(p) > 1e-6 else 0 for row in img for p in row]
+    slope = lambda v, k: v[1] - v[0] if k == 0 else v[-1] - v[-2] if k == n - 1 else (v[k + 1] - v[k - 1]) / 2
+    edge = [math.hypot(slope([light[i][x] for i in range(n)], y), slope(light[y], x)) for y in range(n) for x in range(n)]
+    for values in (sum(light, []), satur, edge):
+        out += [statistics.fmean(values), statistics.pstdev(values)]
+    distinct = len({tuple(int(v) // 32 for v in p) for row in small for p in row}) / small.shape[0] ** 2
+    return [*out, distinct, min(width / max(height, 1), 5) / 5, math.log1p(width) / 10, math.log1p(height) / 10]
+
+
+def test_features_pixel_by_pixel():
+    dice = np.random.default_rng(4)
+    pixels, small = dice.integers(0, 256, (3, 64, 64, 3)) / 255, dice.integers(0, 256, (3, 32, 32, 3)).astype(np.uint8)
+    pixels[1] = 0
+    sizes = np.array([[32, 16], [900, 100], [5, 0]], float)
+    got = features.handcrafted(pixels, small, sizes)
+    for k in range(3):
+        assert got[k].tolist() == pytest.approx(_plain(pixels[k], small[k], *sizes[k]), abs=1e-9)
+
+
+def _decode(content):
+    if content.startswith(b"bad"):
+        raise OSError("not an image")
     red = np.zeros((64, 64, 3))
     red[..., 0] = 1
-    feature, stats = features.handcrafted(red, (red[:32, :32] * 255).astype(np.uint8), 32, 16)
-    assert feature.shape == (34,) and feature[:24].sum() == pytest.approx(3) and stats["color_diversity"] == 1 / 1024 and stats["edge_density"] == 0
-
-    def decode(content):
-        if content == b"bad":
-            raise OSError("not an image")
-        return red, (red[:32, :32] * 255).astype(np.uint8), 32, 16
-
-    df = spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"bad"))], "path string, content binary")
-    got = {r["path"]: r for r in features.build_features(df, decode).collect()}
-    assert got["a"]["width"] == 32 and len(got["a"]["feature"]) == 34 and got["b"]["error"] == "not an image"
+    ramp = np.arange(72).reshape(8, 9)
+    return features.Decoded(red, (red[:32, :32] * 255).astype(np.uint8), 32, 16, ramp[:, :8], ramp)
+
+
+@pytest.mark.parametrize("contents", [[b"ok"], [b"bad"], [b"ok", b"bad", b"ok"], []])
+def test_features_of_good_and_bad_images(spark, contents):
+    df = spark.createDataFrame([(f"d/{i}.PNG", bytearray(c)) for i, c in enumerate(contents)], "path string, content binary").coalesce(1)
+    made = features.build_features(df, _decode)
+    for r in made.collect():
+        if contents[int(r["path"][2:-4])] == b"bad":
+            assert (r["error"], r["feature"], r["asset_type"], r["width"]) == ("not an image", None, None, None)
+        else:
+            assert (r["width"], len(r["feature"]), r["dhash"], r["suffix"], r["aspect_ratio"], r["file_name"]) == (32, 34, "f" * 16, ".png", 2.0, r["path"][2:])
+            assert r["asset_type"] == "text_or_flat_graphic" and r["ahash"] == "00000000ffffffff" and r["error"] is None
+    n = sum(c == b"ok" for c in contents)
+    assert tuple(features.build_summary(made).first()) == (len(contents), n, 34 if n else 0)
+
+
+def test_labels_override_the_type(spark):
+    df = spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"bad")), ("c", bytearray(b"ok"))], "path string, content binary")
+    labels = spark.createDataFrame([("a", "animal", 0.5), ("b", "animal", 0.5)], "path string, label string, margin double")
+    got = {r["path"]: (r["asset_type"], r["asset_confidence"]) for r in features.labelled(features.build_features(df, _decode), labels).collect()}
+    assert got == {"a": ("animal", 0.5), "b": (None, None), "c": ("text_or_flat_graphic", 0.45)}
+
+
+def test_cluster_features(spark):
+    """Two groups by colour; near-duplicates by hash; the row with an error stays without clusters."""
+    rows = [(f"{i:02d}", None, [float(i % 2), 0.5] + [0.1] * 32, "0" * 15 + str(i % 4)) for i in range(8)] + [("zz", "broken", None, None)]
+    made = spark.createDataFrame(rows, "path string, error string, feature array<float>, dhash string")
+    for encoder, bound in (("handcrafted", None), ("clip", None)):
+        got = clusters.cluster_features(made, encoder, bound)
+        by = {r["path"]: r for r in got.collect()}
+        assert by["zz"]["visual_cluster_id"] is None and by["zz"]["duplicate_group_size"] is None
+        assert {(int(p) % 2, r["visual_cluster_id"], r["cluster_size"], r["near_duplicate_group"], r["duplicate_group_size"]) for p, r in by.items() if p != "zz"} == {(0, "visual_0000", 4, "dup_0000", 8), (1, "visual_0001", 4, "dup_0000", 8)}
+        assert tuple(clusters.cluster_counts(got).first()) == (8, 2, 1)
+    one = clusters.cluster_features(made.filter("path in ('00', 'zz')")).collect()
+    assert {r["path"]: r["visual_cluster_id"] for r in one} == {"00": "visual_0000", "zz": None}
+    assert [r["visual_cluster_id"] for r in clusters.cluster_features(made.filter("path = 'zz'")).collect()] == [None]
+
+
+def test_close_codes_are_all_found(spark):
+    dice = random.Random(5)
+    codes = {dice.getrandbits(64) - (1 << 63) for _ in range(60)}
+    for c in list(codes):
+        for k in range(1, 6):
+            x = c & ((1 << 64) - 1)
+            for bit in dice.sample(range(64), k):
+                x ^= 1 << bit
+            codes.add(x - (1 << 64) if x >> 63 else x)
+    for bound in (0, 4):
+        got = {(r[0], r[1], r[2]) for r in clusters.code_pairs(spark.createDataFrame([(c,) for c in codes], "c long"), bound).collect()}
+        far = lambda a, b: bin((a ^ b) & ((1 << 64) - 1)).count("1")
+        assert got == {(a, b, far(a, b)) for a in codes for b in codes if a < b and far(a, b) <= bound}
+
+
+def _full_matrix(x, threshold, method):
+    """Agglomerative clustering by the whole matrix at each step."""
+    d = clusters.distances(x, x, method)
+    groups = {i: [i] for i in range(len(x))}
+    np.fill_diagonal(d, np.inf)
+    while len(groups) > 1:
+        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
+        if not d[i, j] < threshold:
+            break
+        a, b = len(groups[i]), len(groups[j])
+        for k in groups:
+            if k not in (i, j):
+                n = len(groups[k])
+                d[i, k] = d[k, i] = (a * d[i, k] + b * d[j, k]) / (a + b) if method == "average" else math.sqrt(max(0, ((a + n) * d[i, k] ** 2 + (b + n) * d[j, k] ** 2 - n * d[i, j] ** 2) / (a + b + n)))
+        groups[i] += groups.pop(j)
+        d[j, :] = d[:, j] = np.inf
+    return {frozenset(v) for v in groups.values()}
+
+
+@pytest.mark.parametrize(("method", "threshold"), [("average", 0.18), ("ward", 2.4)])
+def test_linkage_is_that_of_the_whole_matrix(method, threshold):
+    dice = np.random.default_rng(8)
+    for n in (0, 1, 2, 60):
+        x = np.round(dice.normal(size=(n, 3)), 1)
+        label = clusters.linkage(x, threshold, method)
+        assert {frozenset(np.flatnonzero(label == v).tolist()) for v in set(label)} == (_full_matrix(x, threshold, method) if n else set())
+
+
+def test_index_life_cycle(spark):
+    encode = vectors.hashing_encoder()
+    rows = lambda *x: spark.createDataFrame(list(x), "path string, ordinal long, a string, b string")
+    with pytest.raises(ValueError):
+        vectors.build_index(rows(), ["a", "b"], encode)
+    index = vectors.build_index(rows(("p", 0, "cat", "NONE"), ("q", 1, "dog", "red")), ["a", "b"], encode, "m1")
+    assert vectors.index_facts(index) == ("m1", ["a", "b"]) and vectors.active_model(index, "x") == "m1" and vectors.active_model(None, "x") == "x"
+    new = vectors.encoded(spark.createDataFrame([("p", 5, "cow", "x", "extra")], "path string, ordinal long, a string, b string, c string"), ["a", "b", "c"], encode, "m2")
+    after = vectors.upsert_paths(index, new)
+    assert {(r["path"], r["ordinal"], r["field"], r["model"]) for r in after.collect()} == {("q", 1, "a", "m1"), ("q", 1, "b", "m1"), ("p", 2, "a", "m1"), ("p", 2, "b", "m1")}
+    best = vectors.search(after, "cow", encode, top=1).first()
+    assert (best["path"], best["best_field"], best["fields"]) == ("p", "a", {"a": "cow", "b": "x"})
+    assert files.empty_vectors(spark).count() == 0 and vectors.active_model(files.empty_vectors(spark), "x") == "x"
+    calls = []
+    lazy = vectors.cached_encoder("one", lambda m: calls.append(m) or encode)
+    lazy(["a"]), lazy(["b"])
+    assert calls == ["one"] and vectors.loaded_models() == ["one"] and vectors.unload_models() == ["one"] and vectors.loaded_models() == []
 
 
 def test_zero_shot_margin(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0])], "k int, v array<double>")
-    assert tuple(vectors.zero_shot(df, "k", "v", [("x", [1.0, 0.0]), ("y", [0.5, 0.0]), ("z", [1.0, 0.0])]).first()) == (1, "x", 1.0, 0.0)
+    assert tuple(vectors.zero_shot(df, "k", "v", [("x", [1.0, 0.0]), ("y", [0.5, 0.0]), ("z", [1.0, 0.0])]).first()) == (1, "x", 1.0, 0.0, {"x": 1.0, "y": 0.5, "z": 1.0})
