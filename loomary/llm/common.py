@@ -78,4 +78,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     _TABLES.setdefault(_SCOPE.get(), []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables whose last reader has been written itself."""
+    for df in tables:
+        _delete(df.sparkSession, df.written_at)

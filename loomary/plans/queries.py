@@ -487,10 +487,10 @@ def _less(mean):
     return lambda x: x - mean
 
 
-@query("channel_stats", f"with v as ({EMBEDDED}) select vec_id, " + ", ".join(_stat(i, w) for i in range(3) for w in ("mean", "std")) + " from v")
+@query("channel_stats", f"with v as ({EMBEDDED}) select vec_id, " + ", ".join(_stat(i, w) for i in range(4) for w in ("mean", "std")) + " from v")
 def channel_stats(spark, d):
     out = []
-    for i in range(3):
+    for i in range(4):
         part = F.slice(F.col("embedding").cast("array<double>"), 1 + 16 * i, 16)
         mean = F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / 16
         var = vectors.dot(*[F.transform(part, _less(mean))] * 2) / 16
@@ -503,11 +503,15 @@ def color_diversity(spark, d):
     return table(spark, d, "embeddings").select("vec_id", (F.size(F.array_distinct(F.transform("embedding", lambda x: F.floor(x.cast("double") * 16)))) / 64).alias("color_diversity"))
 
 
-@query("standardise", f"with v as ({EMBEDDED}), x as (select vec_id, e[1] as a, e[2] as b, 3.0::double as c from v) select vec_id, round((a - avg(a) over ()) / stddev_pop(a) over (), 6) as a, round((b - avg(b) over ()) / stddev_pop(b) over (), 6) as b, 0.0::double as c from x")
+_z = ", ".join(f"round((e[{i + 1}] - avg(e[{i + 1}]) over ()) / stddev_pop(e[{i + 1}]) over (), 6) as x{i}" for i in range(64))
+
+
+@query("standardise", f"with v as ({EMBEDDED}) select vec_id, {_z}, 0.0::double as same from v")
 def standardise(spark, d):
-    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
-    z = clusters.standardise(table(spark, d, "embeddings").select("vec_id", at(0).alias("a"), at(1).alias("b"), F.lit(3.0).alias("c")), ["a", "b", "c"])
-    return z.select("vec_id", *[F.round(c, DIGITS).alias(c) for c in "abc"])
+    """All 64 numbers, and a constant column."""
+    names = [f"x{i}" for i in range(64)]
+    wide = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)], F.lit(3.0).alias("same"))
+    return clusters.standardise(wide, [*names, "same"]).select("vec_id", *[F.round(n, DIGITS).alias(n) for n in [*names, "same"]])
 
 
 @query("agglo_average")
