@@ -14,6 +14,6 @@ def spark(tmp_path_factory):
     session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("OFF")
     root, env = str(Path(__file__).resolve().parents[1]), session.sparkContext.environment
-    env["PYTHONPATH"] = root + ":" + root + "/tests:" + root + "/tests/llm:" + env.get("PYTHONPATH", "")
+    env["PYTHONPATH"] = root + ":" + root + "/tests:" + env.get("PYTHONPATH", "")
     yield session
     session.stop()
