@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -13,7 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+from ..shared import delete, new_path
+from ..shared import written as _written
+
 _SCOPE: ContextVar[str] = ContextVar("scope", default="")
 _TABLES: dict[str, list[str]] = {}
 
@@ -30,34 +29,6 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none (local tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _OWN:
-        _OWN[key] = tempfile.mkdtemp(prefix="loomary-")
-        spark.sparkContext.setCheckpointDir(f"file://{_OWN[key]}")
-    return f"file://{_OWN[key]}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/loomary-{label}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may have ended first
-        pass
-
-
 @contextmanager
 def scope(spark: SparkSession, name: str) -> Iterator[None]:
     """Tables written inside belong to this scope; those that an earlier use of it left are deleted first.
@@ -65,7 +36,7 @@ def scope(spark: SparkSession, name: str) -> Iterator[None]:
     For chains whose every result is stored before the next step begins, as in a pipeline of stages.
     """
     for path in _TABLES.pop(name, []):
-        _delete(spark, path)
+        delete(spark, path)
     token = _SCOPE.set(name)
     try:
         yield
@@ -74,16 +45,13 @@ def scope(spark: SparkSession, name: str) -> Iterator[None]:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once: written as Parquet to the shared folder, which cuts its lineage, and read back."""
-    path = new_path(df.sparkSession, label)
-    _TABLES.setdefault(_SCOPE.get(), []).append(path)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_at = path
+    """df, computed once and read back from the shared folder; it belongs to the scope around it."""
+    out = _written(df, label)
+    _TABLES.setdefault(_SCOPE.get(), []).append(out.written_at)
     return out
 
 
 def release(*tables: DataFrame) -> None:
     """Delete written tables whose last reader has been written itself."""
     for df in tables:
-        _delete(df.sparkSession, df.written_at)
+        delete(df.sparkSession, df.written_at)

@@ -8,6 +8,7 @@ each refinement is. The driver sees at most about CELLS cells a round, whatever
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -115,7 +116,7 @@ def find_ranges(df: DataFrame, key1: str, key2: str, weight: str, parts: int, to
         inside: dict[Cell, list[int]] = {}
         for i, cells in open_at.items():
             target = total * i / parts
-            c = next((c for c in cells if c.below + c.weight > target), cells[-1])
+            c = cells[min(bisect_right(cells, target, key=lambda c: c.below + c.weight), len(cells) - 1)]
             near, far = abs(target - c.below), abs(c.below + c.weight - target)
             if min(near, far) <= tolerance(i) or c.single:
                 found[i] = _low(c) if near <= far else _high(c)

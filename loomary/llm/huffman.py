@@ -83,21 +83,21 @@ def encode_block(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, codes
     body = np.zeros(n)
     for k in range(4):
         body += np.bincount((at >> 3) + k, weights=(word >> (24 - 8 * k)) & 255, minlength=n)[:n]
-    return struct.pack("<4sIIQ", b"LHB1", len(doc_ids), len(ids), bits) + doc_ids.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + at[::STRIDE].astype("<u4").tobytes() + body.astype(np.uint8).tobytes()
+    return struct.pack("<4sIIQ", b"LHB2", len(doc_ids), len(ids), bits) + doc_ids.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + at[::STRIDE].astype("<u8").tobytes() + body.astype(np.uint8).tobytes()
 
 
 def decode_block(payload: bytes, table: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document ids, their token counts, all token ids)."""
     magic, n_docs, n_ids, _ = struct.unpack_from("<4sIIQ", payload)
-    if magic != b"LHB1":
+    if magic != b"LHB2":
         raise ValueError("not a block")
     at = struct.calcsize("<4sIIQ")
     doc_ids = np.frombuffer(payload, "<i8", n_docs, at)
     counts = np.frombuffer(payload, "<u4", n_docs, at + 8 * n_docs)
     at += 12 * n_docs
     lanes = -(-n_ids // STRIDE)
-    place = np.frombuffer(payload, "<u4", lanes, at).astype(np.int64)
-    raw = np.concatenate((np.frombuffer(payload, np.uint8, -1, at + 4 * lanes), np.zeros(8, np.uint8))).astype(np.int64)
+    place = np.frombuffer(payload, "<u8", lanes, at).astype(np.int64)
+    raw = np.concatenate((np.frombuffer(payload, np.uint8, -1, at + 8 * lanes), np.zeros(8, np.uint8))).astype(np.int64)
     words = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
     out = np.zeros((STRIDE, lanes), np.int64)
     last = n_ids - (lanes - 1) * STRIDE

@@ -93,7 +93,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, bool]] | None = None,
         same = same & (F.col(f"w{i}") == F.col(f"t{i}"))
     votes = rolling.withColumn("h", F.xxhash64(*[f"w{i}" for i in range(k)])).join(table, same).select("id", "text_hash", "template", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
     diagonals = votes.groupBy("id", "text_hash", "template", "diagonal").agg(F.collect_set("tpos").alias("at"))
-    strong = diagonals.join(F.broadcast(facts), "template").filter("size(at) >= least(grams, if(base, grams, 3))")
+    strong = diagonals.join(F.broadcast(facts) if len(templates) <= SMALL else facts, "template").filter("size(at) >= least(grams, if(base, grams, 3))")
     order = Window.partitionBy("id", "text_hash", "template").orderBy("diagonal")
     far = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > F.col("slack")).cast("int"), F.lit(0))
     merged = strong.withColumn("far", far).withColumn("span", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -2,7 +2,8 @@
 
 The key is (hash of the text, document id), so equal texts stand together and only a group heavier than the tolerance
 is divided. Each shard is cut into sub-ranges of about `target_bytes`, so that the one exchange of whole rows makes
-tasks of bounded size whatever the number of shards; the histograms give the exact number of rows below each
+tasks of bounded size; beyond SUBRANGES of them in all (4 TB at 64 MB) they grow, so that the driver's table of splitters
+doesn't, and are sorted with spills; the histograms give the exact number of rows below each
 sub-range, from which slots follow without a further pass.
 """
 
@@ -15,10 +16,11 @@ from .common import read
 from .histogram import LOW, find_ranges
 
 OVERHEAD = 16
+SUBRANGES = 1 << 16
 
 
 def shard(docs: DataFrame, shards: int = 40, text_col: str = "text", id_col: str = "doc_id", tolerance: float = 0.001, target_bytes: int = 64 << 20) -> DataFrame:
-    """`docs` plus `placed`, a struct of size, shard (from 0) and slot (gapless in each shard, from 0).
+    """`docs` plus `placed` (a column of that name is replaced), a struct of size, shard (from 0) and slot (gapless in each shard, from 0).
 
     A row's size is the UTF-8 bytes of its text plus 16. Shards differ from equal bytes by `tolerance` of a shard or by
     one document's size. Null texts count as size 16; null ids come first among equal texts. Rows that share text and
@@ -26,9 +28,9 @@ def shard(docs: DataFrame, shards: int = 40, text_col: str = "text", id_col: str
     no order of their own.
     """
     size = F.coalesce(F.octet_length(f"`{text_col}`"), F.lit(0)).cast("long") + OVERHEAD
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), size.alias("size"), F.shiftrightunsigned(F.xxhash64(f"`{text_col}`"), 1).alias("k1"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LOW)).alias("k2"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "placed"]).alias("row"), size.alias("size"), F.shiftrightunsigned(F.xxhash64(f"`{text_col}`"), 1).alias("k1"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LOW)).alias("k2"))
     total = docs.agg(F.sum(size)).first()[0] or 0
-    parts = min(128, max(4, -(-total // (shards * target_bytes))))
+    parts = max(1, min(SUBRANGES // shards, max(4, -(-total // (shards * target_bytes)))))
     mean = total / shards
     ranges = find_ranges(keyed.select("k1", "k2", "size"), "k1", "k2", "size", shards * parts, lambda i: mean * (tolerance if i % parts == 0 else 0.2 / parts))
     if ranges is None:

@@ -195,3 +195,13 @@ def test_edited_notice_is_one_span(spark):
 
 def test_crc_of_contract(spark):
     assert spark.sql("select crc32(cast('aé' as binary))").first()[0] == zlib.crc32("aé".encode())
+
+
+def test_long_passage_of_two_documents(spark):
+    """It goes from the second of two unlike documents and stays in both versions of one."""
+    word = lambda k, i: "".join(chr(97 + int(x)) for x in f"{k}{i}")
+    passage = " ".join(word("99", i) for i in range(80))
+    own = [" ".join(word(k, i) for i in range(120)) for k in range(4)]
+    rows = [(1, f"{own[0]}\n{passage}"), (2, f"{passage}\n{own[1]}"), (3, f"{own[2]}\nshort line of mine"), (4, f"{own[2]}\nanother end here")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: own[1], 3: rows[2][1], 4: rows[3][1]}
