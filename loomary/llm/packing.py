@@ -23,8 +23,8 @@ from .tokens import token_ids
 
 CAPACITY = 2048
 BLOCK, ISLANDS, EPOCHS, CHILDREN, POPULATION = 4096, 2, 3, 8, 4
-FULL, STUCK = 0.998, 0.7
-FLOORS = (FULL, 0.99, 0.97, 0.9, 0.75, 0.5)
+FULL, STUCK = 0.998, 0.5
+FLOORS = (1.0, 0.9995, 0.999, FULL, 0.99, 0.97, 0.9, 0.75, 0.5)
 STATE = "block int, island int, rows binary, sizes binary, packings array<binary>"
 
 
