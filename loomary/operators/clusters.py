@@ -214,6 +214,11 @@ def cluster_counts(clustered: DataFrame) -> DataFrame:
     )
 
 
+def split_kinds(values: list[str]) -> list[str]:
+    """Asset types of an argument that may be repeated, hold commas, or both; none: no filter."""
+    return list(dict.fromkeys(x for v in values for x in map(str.strip, v.split(",")) if x))
+
+
 def representatives(rows: DataFrame, done: DataFrame, key: str = "path", cluster: str = "visual_cluster_id", size: str = "cluster_size", kind: str = "asset_type", least: int = 1, kinds: list[str] | None = None, overwrite: bool = False, limit: int = 0) -> DataFrame:
     """The first row (by key) of each cluster, largest clusters first. A cluster whose first row is done is left out."""
     sized = rows.withColumn("__size", safe_int(F.col(size).cast("string"))).filter(F.col("__size") >= least)

@@ -120,6 +120,16 @@ def combined(scores: list[tuple[str, Column, Column]], mode: str) -> tuple[Colum
     return score, F.coalesce(best["field"], F.lit("")), by_field
 
 
+def check_request(query: str, top: int, mode: str, most: int = 100) -> None:
+    """What a service asks of a request; the library itself clamps."""
+    if not query:
+        raise ValueError("the query is empty")
+    if not 1 <= top <= most:
+        raise ValueError(f"top_k is 1 to {most}")
+    if mode not in MODES:
+        raise ValueError(f"score mode {mode}; known: {', '.join(MODES)}")
+
+
 def clamp(k: int) -> int:
     """The least number of results is one; Spark's limit handles a k above the number of rows."""
     return max(1, k)

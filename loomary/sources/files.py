@@ -94,9 +94,12 @@ def pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
-    """A vector table; a missing validity counts as valid. Raises ValueError if a column is missing."""
+    """A vector table (the current version, if it has versions); a missing validity counts as valid. Raises ValueError if a
+    column is missing."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
+    if exists(spark, f"{path}/current"):
+        path = f"{path}/{spark.read.schema('version string').json(f'{path}/current').first()[0]}"
     found = spark.read.parquet(path)
     missing = {"path", "ordinal", "field", "text", "vector"} - set(found.columns)
     if missing:

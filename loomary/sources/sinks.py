@@ -97,5 +97,8 @@ def batches(df: DataFrame, path: str) -> None:
 
 
 def vector_table(df: DataFrame, path: str) -> None:
-    """By field, so that a search over some fields reads only those."""
-    df.write.mode("overwrite").partitionBy("field").parquet(path)
+    """A new version by field, so that a search over some fields reads only those; a pointer then names it, so an index
+    may be rewritten from itself and readers never see half of one."""
+    version = uuid.uuid4().hex
+    df.write.partitionBy("field").parquet(f"{path}/{version}")
+    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")

@@ -167,6 +167,23 @@ def test_keyed_files(spark, tmp_path):
     assert sinks.printed(df.limit(1)) == "a" and json.loads(sinks.printed(df.limit(1), True))[0]["path"] == "a"
 
 
+def test_requests_are_checked():
+    from loomary.operators import clusters
+
+    vectors.check_request("a", 100, "mean")
+    for bad in (("", 1, "max"), ("a", 0, "max"), ("a", 101, "max"), ("a", 1, "best")):
+        with pytest.raises(ValueError):
+            vectors.check_request(*bad)
+    assert clusters.split_kinds(["a, b", "b", ",c"]) == ["a", "b", "c"] and clusters.split_kinds([]) == []
+
+
+def test_an_index_is_rewritten_from_itself(spark, tmp_path):
+    own = vectors.encoded(spark.createDataFrame([("p", 0, "x", "y"), ("q", 1, "z", "")], "path string, ordinal long, a string, b string"), ["a", "b"], vectors.hashing_encoder(8))
+    sinks.vector_table(own, f"{tmp_path}/v")
+    sinks.vector_table(vectors.remove_paths(files.vectors(spark, f"{tmp_path}/v"), own.filter("path = 'p'").select("path"))[0], f"{tmp_path}/v")
+    assert sorted((r["path"], r["field"], r["valid"]) for r in files.vectors(spark, f"{tmp_path}/v").collect()) == [("q", "a", True), ("q", "b", False)]
+
+
 def test_sync_of_an_index(spark):
     encode = lambda df: vectors.encoded(df, ["a"], vectors.hashing_encoder(8))
     own = spark.createDataFrame([("p", 0, "x"), ("q", 1, "y"), ("r", 2, "z")], "path string, ordinal long, a string")
