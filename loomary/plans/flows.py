@@ -66,7 +66,7 @@ for _mode, _agg in (("max", "max(s)"), ("mean", "avg(s)"), ("sum", "sum(s)")):
 
 @query(
     "index_upsert",
-    f"""with {_long}, t as (select max(ordinal) as top from i where ordinal % 9 <> 0)
+    f"""with {_long}, t as (select max(ordinal) as top from i)
     select path, ordinal, field, text from i where ordinal % 9 <> 0 union all select path, top + 1 + ordinal, field, 'new' from i, t where ordinal % 9 = 0""",
 )
 def index_upsert(spark, d):
