@@ -12,12 +12,14 @@ a term's k-th hash is bit k of its uniform for sample i. The AND of the first d
 samples for which a term's uniform is among the top 2^-d, and only those can hold the least value where a text has
 many terms. d follows from the number of distinct words (a lower bound for that of terms), so that REACH terms are
 expected per sample; a sample that none reaches (probability 64 e^-REACH, about 7e-6 a text) stays empty and agrees
-with none. Terms that occur more often, a small share, are tried for every sample. The fingerprint is a function of the
+with none. The samples of a mask are looked up byte by byte, so a term makes a row for each of them and no others. Terms that occur more often, a small share, are tried for every sample. The fingerprint is a function of the
 text alone, and no term is ever shuffled.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from .histogram import LOW, find_ranges
 SAMPLES, WORDS = 64, 5
 SPACES = " \t\n\x0b\f\r"
 DEPTH, REACH = 16, 16
+#: Parts of a task.
+TOGETHER = 2
 TAG = 4  # hex digits of a sample in a fingerprint
 EMPTY = "-" * TAG
 
@@ -44,6 +48,13 @@ def _grams(df: DataFrame, text: str, k: int, keep: list[str]) -> DataFrame:
     return sized.select(*keep, "__d", F.explode(F.arrays_zip(*[F.slice("__filled", F.lit(i + 1), F.col("__count")).alias(f"w{i}") for i in range(k)])).alias("__g"))
 
 
+def _set_bits(mask: str) -> Column:
+    """The places of the bits that are set in a long. The tables (places by value of a byte) are constants once planned."""
+    tables = [json.dumps([[8 * b + i for i in range(8) if x >> i & 1] for x in range(256)]) for b in range(8)]
+    at = [F.expr(f"element_at(from_json('{t}', 'array<array<int>>'), cast(({mask} >>> {8 * b}) & 255 as int) + 1)") for b, t in enumerate(tables)]
+    return F.concat(*at)
+
+
 def _order_keys(drawn: DataFrame, keep: list[str], sides: int) -> DataFrame:
     """(keep .., __k0 ..): per side the order key of sample __i of a term: the greater, the less its value.
 
@@ -81,7 +92,8 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], words: int
     hashed = weighed.select("*", *[F.xxhash64("__term", F.lit(-k)).alias(f"__a{k}") for k in range(1, DEPTH + 1)])
     ands = " & ".join(f"if(__d{{0}} >= {k}, __a{k}, -1L)" for k in range(1, DEPTH + 1))
     masks = [F.expr(f"if(__w{j} = 0, 0L, if(__w{j} > 1, -1L, {ands.format(j)}))").alias(f"__q{j}") for j in range(n)]
-    tried = hashed.select("*", *masks).withColumn("__i", F.explode(F.lit(list(range(SAMPLES))))).filter(F.expr(f"(({' | '.join(f'__q{j}' for j in range(n))}) >>> __i) & 1 = 1"))
+    met = hashed.select("*", *masks).withColumn("__any", F.expr(" | ".join(f"__q{j}" for j in range(n))))
+    tried = met.withColumn("__i", F.explode_outer(_set_bits("__any"))).filter("__i is not null").drop("__any")  # a filter before it would compute the masks twice
     level = str(DEPTH)
     for k in range(DEPTH, 0, -1):
         level = f"if((__a{k} >>> __i) & 1 = 0, {k - 1}, {level})"
@@ -105,27 +117,34 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.col(a) == none) & (F.col(b) == none), 1.0).otherwise(same)
 
 
-def with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", part_bytes: int = 8 << 20, parts: tuple[int, int] = (64, 1 << 16)) -> DataFrame:
+def with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", part_bytes: int = 2 << 20, parts: tuple[int, int] = (64, 1 << 20)) -> DataFrame:
     """Rows (part, n, own, id, text, next): every row with the text of the next in ascending order of id (null first; ties by a
     hash of the text), the first after the last; `own` is false for copies of a part's successor.
 
     Parts are ranges of ids of about equal bytes with exact splitters, so the one exchange of texts serves the order too.
+    Some parts meet in a task by hash, so that tasks are alike and hold few enough terms to aggregate them in memory.
+    Ids travel as the order's first key (the least long stands for null), so whatever part of the rows a plan needs, it
+    needs the same exchange.
     """
-    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("k1", F.coalesce(F.col("id").cast("long"), F.lit(LOW))).withColumn("k2", F.xxhash64("text")).withColumn("size", F.octet_length("text") + 16)
+    text, k1 = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LOW))
+    named = F.when(F.col("k1") != F.lit(LOW), F.col("k1")).cast(docs.schema[id_col].dataType).alias("id")
+    keyed = docs.select(text.alias("text"), k1.alias("k1")).withColumn("k2", F.xxhash64("text")).withColumn("size", F.octet_length("text") + 16)
     total = keyed.agg(F.sum("size")).first()[0] or 0
     count = min(parts[1], max(parts[0], -(-total // part_bytes)))
     ranges = find_ranges(keyed.select("k1", "k2", "size"), "k1", "k2", "size", count, lambda i: 0.2 * total / count)
     if ranges is None:
-        return keyed.select(F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit(True).alias("own"), "id", "text", F.col("text").alias("next"))
+        return keyed.select(F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit(True).alias("own"), named, "text", F.col("text").alias("next"))
     dealt = ranges.assign(keyed, "k1", "k2", "part")
     firsts = sorted(dealt.groupBy("part").agg(F.min(F.struct("k1", "k2")).alias("k")).select("part", "k.k1", "k.k2").collect())  # a row per part
     before = [(k1, k2, firsts[i - 1][0]) for i, (_, k1, k2) in enumerate(firsts)]
     heads = docs.sparkSession.createDataFrame(before, "h1 long, h2 long, before int")
     met = dealt.join(F.broadcast(heads), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
-    twice = F.explode(F.expr("if(before is null, array(struct(part, true as own)), array(struct(part, true as own), struct(before as part, false as own)))"))
-    both = met.select("k1", "k2", "id", "text", twice.alias("p")).select("p.part", "p.own", "k1", "k2", "id", "text")
+    # never null to the optimizer either, which else gives one user of the exchange a filter and the other none
+    here, prior = "struct(coalesce(part, 0) as part, true as own)", "struct(coalesce(before, 0) as part, false as own)"
+    twice = F.explode(F.expr(f"if(before is null, array({here}), array({here}, {prior}))"))
+    both = met.select("k1", "k2", "text", twice.alias("p")).select("p.part", "p.own", "k1", "k2", "text").repartition(max(1, count // TOGETHER), "part")
     order = Window.partitionBy("part").orderBy(F.col("own").desc(), "k1", "k2")
-    return both.withColumn("n", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit(""))).select("part", "n", "own", "id", "text", "next")
+    return both.withColumn("n", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit(""))).select("part", "n", "own", named, "text", "next")
 
 
 def op4_cws(spark, sf_dir: str) -> DataFrame:
