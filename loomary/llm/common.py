@@ -9,10 +9,12 @@ from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shared import delete, new_path
 from ..shared import written as _written
 
+BITS = 1 << 24
 _SCOPE: ContextVar[str] = ContextVar("scope", default="")
 _TABLES: dict[str, list[str]] = {}
 
@@ -55,3 +57,12 @@ def release(*tables: DataFrame) -> None:
     """Delete written tables whose last reader has been written itself."""
     for df in tables:
         delete(df.sparkSession, df.written_at)
+
+
+def maybe_in(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The rows of `df` whose `key` (a hash) may be in `known`: a bitmap of BITS bits tells, which has 2^18 rows at most
+    and so is broadcast. It only spares the exact join after it rows that are of no use."""
+    bit, word = f"shiftrightunsigned({key}, 58)", f"({key} & {BITS // 64 - 1}L)"
+    bits = known.groupBy(F.expr(word).alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({bit} as int))")).alias("__bits"))
+    met = df.withColumn("__word", F.expr(word)).join(F.broadcast(bits), "__word")
+    return met.filter(F.expr(f"(shiftrightunsigned(__bits, cast({bit} as int)) & 1L) = 1")).drop("__word", "__bits")

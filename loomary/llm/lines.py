@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, release, written
+from .common import maybe_in, read, release, written
 
 DEPTH, MIN_DOCS, CONSTANT, LEAST_CONSTANT, MOST = 3, 3, 0.7, 4, 0.5
 #: Above so many words two documents are enough: such a passage doesn't recur by chance.
@@ -27,7 +27,6 @@ COPY = 16 / 9
 SPACES = r"[\t\x0B\f\r]|  "
 VARIABLE, SALT = "<*>", 64
 DIGITS = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
-BITS = 1 << 24
 
 
 def _words(line: str) -> str:
@@ -44,7 +43,8 @@ def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """(id, same, total, pos, words, constants, leaf, line, plain): the lines of every text that aren't blank, with single spaces.
 
     `same` is a hash of the text, `total` its words, `constants` the words of the line without a digit. A leaf is told by
-    the number of words and the leading ones, `line` by all of them, where words with a digit are alike.
+    the number of words and the leading ones, `line` by all of them, where words with a digit are alike; the lowest bit of
+    `leaf` is set for long lines.
     """
     text = F.col(f"`{text_col}`")
     clean = F.when(text.rlike(SPACES), F.regexp_replace(text, r"[\x20\t\x0B\f\r]+", " ")).otherwise(text)
@@ -54,12 +54,13 @@ def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     plain = split.select("id", "same", "total", "pos", F.btrim("line").alias("plain")).filter("plain <> ''")
     words = plain.withColumn("words", F.expr(_words("plain"))).withColumn("general", _general(F.col("plain")))
     variable = F.when(F.col("plain").rlike("[0-9]"), F.regexp_count("plain", F.lit(DIGITS))).otherwise(0)
-    leaf = F.xxhash64("words", F.substring_index("general", " ", DEPTH))
+    leaf = F.xxhash64("words", F.substring_index("general", " ", DEPTH)).bitwiseAND(F.lit(-2)).bitwiseOR((F.col("words") > LONG).cast("long"))
     return words.select("id", "same", "total", "pos", "words", (F.col("words") - variable).alias("constants"), leaf.alias("leaf"), F.xxhash64("words", "general").alias("line"), "plain")
 
 
 def _need(min_docs: int) -> Column:
-    return F.when(F.col("words") > LONG, min(2, min_docs)).otherwise(min_docs)
+    """How many documents a leaf's lines need."""
+    return F.when(F.col("leaf").bitwiseAND(F.lit(1)) == 1, min(2, min_docs)).otherwise(min_docs)
 
 
 def _sure(constant: float, n: str) -> Column:
@@ -67,51 +68,53 @@ def _sure(constant: float, n: str) -> Column:
     return (F.col("constants") == F.col(n)) | (F.col("constants") >= F.greatest(constant * F.col(n), F.lit(float(LEAST_CONSTANT))))
 
 
-def _met(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """The rows of `df` whose `key` (a hash) may be in `known`: a bitmap of BITS bits tells, which has 2^18 rows at most
-    and so is broadcast. It only spares the exact join after it rows that are of no use."""
-    bit, word = f"shiftrightunsigned({key}, 58)", f"({key} & {BITS // 64 - 1}L)"
-    bits = known.groupBy(F.expr(word).alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({bit} as int))")).alias("__bits"))
-    met = df.withColumn("__word", F.expr(word)).join(F.broadcast(bits), "__word")
-    return met.filter(F.expr(f"(shiftrightunsigned(__bits, cast({bit} as int)) & 1L) = 1")).drop("__word", "__bits")
-
-
 def leaves(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(leaf, words, docs, low, high, constants): the leaves that enough documents meet; no other line can be of a recurring
+    """(leaf, docs, low, high, words, constants): the leaves that enough documents meet; no other line can be of a recurring
     template. `low` and `high` are the least and greatest of its lines.
 
-    Documents are told apart by their text, so exact copies count once.
+    Documents are told apart by their text, so exact copies count once. Only hashes of all lines are exchanged; what else
+    is needed comes from the lines of the leaves that are left, summed up before the exchange.
     """
-    met = lines.groupBy("leaf", "words", "same").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.max("constants").alias("constants"))
-    counted = met.groupBy("leaf", "words").agg(F.count("*").alias("docs"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("constants").alias("constants"))
-    return counted.filter(F.col("docs") >= _need(min_docs))
+    counted = lines.select("leaf", "same").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= _need(min_docs))
+    counted = written(counted, "leaves")
+    facts = maybe_in(lines.select("leaf", "line", "words", "constants"), counted, "leaf").groupBy("leaf").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.max("words").alias("words"), F.max("constants").alias("constants"))
+    return counted.join(facts, "leaf")
 
 
 def _supported(rows: DataFrame, key: str) -> DataFrame:
-    """The keys with at least `need` distinct documents (docs: of one row; some: which), grouped by document first."""
-    each = rows.select(key, "need", "docs", F.explode("some").alias("same")).groupBy(key, "same").agg(F.max("docs").alias("docs"), F.max("need").alias("need"))
-    return each.groupBy(key).agg(F.greatest(F.count("*"), F.max("docs")).alias("support"), F.max("need").alias("need")).filter("support >= need").select(key, "support")
+    """(key, support) of the keys with enough distinct documents, grouped by document first; rows: (key, docs, same), a row
+    per document known of a line, where docs (of the line) is null unless it is enough by itself. The lowest bit of `same`
+    is that of the leaf."""
+    each = rows.groupBy(key, "same").agg(F.max("docs").alias("docs"))
+    counted = each.groupBy(key).agg(F.greatest(F.count("*"), F.max("docs")).alias("support"), F.max(F.col("same").bitwiseAND(F.lit(1))).alias("leaf"))
+    return counted
 
 
 def templates(lines: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
-    """(line, template, pair) of lines (leaf, line, words, same, plain) whose template recurs; `pair`: in two documents, not min_docs.
+    """(line, template, pair) of lines (leaf, line, same, plain) whose template recurs; `pair`: in two documents, not min_docs.
 
     Documents are counted, not lines: a document with several lines of a template is one. A line that enough documents
     have needs no others; of any other line all documents are known by `some`, so the counts are exact up to min_docs.
+    Lines of leaves that too few documents meet do no harm: none of their places is supported.
     """
+    marked = F.col("same").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("leaf").bitwiseAND(F.lit(1)))
     some = F.array_distinct(F.array(F.min("same"), F.max("same"))) if min_docs <= 3 else F.collect_set("same")
-    need = lines.select("leaf", "line", _need(min_docs).alias("need"), F.split(_general(F.col("plain")), " ").alias("tokens"), "same").distinct()
-    own = written(need.groupBy("leaf", "line", "need", "tokens").agg(F.count("*").alias("docs"), some.alias("some")), "lines")
-    tokens = own.select("leaf", "line", "need", "docs", "some", F.posexplode("tokens").alias("pos", "token"))
-    places = tokens.select("line", "need", "docs", "some", "pos", F.when(F.col("token") != VARIABLE, F.xxhash64("leaf", "pos", "token")).alias("place"))
-    kept = _supported(places.filter("place is not null"), "place").select(F.col("place").alias("constant"))
-    fixed = places.select("line", "pos", "place").join(kept, F.col("place") == F.col("constant"), "left")
-    general = fixed.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("pos", "constant"))).alias("fields"), F.count("constant").alias("constants"), F.count("*").alias("n"))
-    sure = general.filter(_sure(constant, "n")).select("line", F.xxhash64("n", "fields").alias("fields")).join(own.drop("tokens"), "line")
-    named = written(sure.select("line", "docs", "need", "some", F.xxhash64("leaf", "fields").alias("template")), "templates")
-    release(own)
-    common = _supported(named, "template")
-    return named.join(common, "template").select("line", "template", (F.col("support") < min_docs).alias("pair"))
+    met = lines.select("line", "leaf", marked.alias("same")).distinct().groupBy("line", "leaf").agg(F.count("*").alias("docs"), some.alias("some"))
+    met = met.withColumn("docs", F.when(F.col("docs") >= _need(min_docs), F.col("docs")))
+    text = lines.groupBy("line").agg(F.min("plain").alias("plain"))
+    own = written(met.join(text, "line").withColumn("tokens", F.split(_general(F.col("plain")), " ")).drop("plain"), "lines")
+    tokens = own.select("line", "leaf", "docs", "some", F.posexplode("tokens").alias("pos", "token")).filter(F.col("token") != VARIABLE)
+    places = tokens.select("line", "pos", "docs", "some", F.xxhash64("leaf", "pos", "token").alias("place"))
+    counted = _supported(places.select("place", "docs", F.explode("some").alias("same")), "place")
+    kept = written(counted.filter(F.col("support") >= _need(min_docs)).select("place"), "places")
+    fixed = maybe_in(places.select("line", "pos", "place"), kept, "place").join(kept, "place", "left_semi")
+    general = fixed.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("pos", "place"))).alias("fields"), F.count("*").alias("constants"))
+    sized = general.join(own.select("line", "leaf", "docs", "some", F.size("tokens").alias("n")), "line").filter(_sure(constant, "n"))
+    named = written(sized.select("line", "docs", "some", F.xxhash64("leaf", "n", "fields").alias("template")), "templates")
+    release(own, kept)
+    common = _supported(named.select("template", "docs", F.explode("some").alias("same")), "template")
+    enough = common.filter(F.col("support") >= _need(min_docs))
+    return named.join(enough, "template").select("line", "template", (F.col("support") < min_docs).alias("pair"))
 
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
@@ -123,8 +126,8 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONS
     met = written(leaves(lines, min_docs), "leaves")
     alone = met.filter("low = high").filter(_sure(constant, "words")).select(F.col("low").alias("line"), F.col("low").alias("template"), (F.col("docs") < min_docs).alias("pair"))
     mixed = met.filter("low <> high").select("leaf")
-    inside = _met(lines.select("leaf", "line", "words", "same", "plain"), mixed, "leaf").join(mixed, "leaf", "left_semi")
-    return written(alone.unionByName(templates(inside, min_docs, constant)), "recurring")
+    inside = maybe_in(lines.select("leaf", "line", "same", "plain"), mixed, "leaf")
+    return written(alone.unionByName(templates(inside, min_docs, constant)).dropDuplicates(["line"]), "recurring")
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = MIN_DOCS, constant: float = CONSTANT, most: float = MOST) -> DataFrame:
@@ -137,7 +140,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     lines = written(_lines(docs, text_col, id_col), "lines")
     known = recurring(lines, min_docs, constant)
-    place = _met(lines.select("id", "same", "total", "pos", "words", "line"), known, "line")
+    place = maybe_in(lines.select("id", "same", "total", "pos", "words", "line"), known, "line")
     found = written(place.join(known, "line").select("template", "pair", "id", "same", "total", "pos", "words").distinct(), "found")
     release(lines)
     order = F.struct(F.col("id").isNull(), "id", "same", "pos", "total")
