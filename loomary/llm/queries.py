@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, cws, huffman, licenses, lines, mixing, packing, quality, shards, simhash
+from . import chat, cws, huffman, licenses, lines, merkle, mixing, packing, quality, shards, simhash, vacodes
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
     "op10_chat": chat.op10_chat,
+    "op11_vector_codes": vacodes.op11_vector_codes,
+    "op12_merkle": merkle.op12_merkle,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_vector_codes": vacodes.ORACLE, "op12_merkle": merkle.ORACLE}
