@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, cws, huffman, licenses, lines, merkle, mixing, packing, quality, shards, simhash, vacodes
+from . import chat, cws, huffman, licenses, lines, merkle, mixing, packing, pii, quality, shards, simhash, vacodes
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
     "op11_vector_codes": vacodes.op11_vector_codes,
     "op12_merkle": merkle.op12_merkle,
+    "op13_personal_data": pii.op13_personal_data,
 }
 ORACLES: dict[str, str] = {"op11_vector_codes": vacodes.ORACLE, "op12_merkle": merkle.ORACLE}
