@@ -116,31 +116,31 @@ def folded(node: str, path: list[str]) -> str:
     return node
 
 
-def _levels(n: int) -> int:
-    return min(height(BLOCK), height(n))
+def _levels(n: int, block: int) -> int:
+    return min(height(block), height(n))
 
 
-def upper_paths(nodes: DataFrame, most: int) -> DataFrame:
+def upper_paths(nodes: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     """(tree, block, path, root): for each block of `nodes` (tree, i, n, node: the i-th of n) the path from the block's root to
-    the tree's. `most`: the largest n. A layer has 1/BLOCK of the rows of the one below."""
+    the tree's. `most`: the largest n; `block`: a power of two. A layer has 1/block of the rows of the one below."""
 
     def root(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].iloc[0])
-        return pd.DataFrame({"tree": [key[0]], "i": [key[1]], "n": [-(-n // BLOCK)], "node": [block_root(pdf.sort_values("i")["node"].tolist(), _levels(n))]})
+        return pd.DataFrame({"tree": [key[0]], "i": [key[1]], "n": [-(-n // block)], "node": [block_root(pdf.sort_values("i")["node"].tolist(), _levels(n, block))]})
 
-    tops = nodes.groupBy("tree", F.expr(f"i div {BLOCK}").alias("block")).applyInPandas(root, "tree string, i long, n long, node string")
-    if most <= BLOCK:
+    tops = nodes.groupBy("tree", F.expr(f"i div {block}").alias("block")).applyInPandas(root, "tree string, i long, n long, node string")
+    if most <= block:
         return written(tops.select("tree", F.col("i").alias("block"), F.array().cast("array<string>").alias("path"), F.col("node").alias("root")), "paths")
     tops = written(tops, "blocks")
 
     def climb(key: tuple, pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         rest, n = list(above["path"].iloc[0]), int(pdf["n"].iloc[0])
-        paths = [p + rest for p in traverse(pdf["node"].tolist(), _levels(n))]
+        paths = [p + rest for p in traverse(pdf["node"].tolist(), _levels(n, block))]
         return pd.DataFrame({"tree": key[0], "block": pdf["i"], "path": paths, "root": above["root"].iloc[0]})
 
-    above = upper_paths(tops, -(-most // BLOCK))
-    both = tops.groupBy("tree", F.expr(f"i div {BLOCK}").alias("block")).cogroup(above.groupBy("tree", "block"))
+    above = upper_paths(tops, -(-most // block), block)
+    both = tops.groupBy("tree", F.expr(f"i div {block}").alias("block")).cogroup(above.groupBy("tree", "block"))
     return written(both.applyInPandas(climb, "tree string, block long, path array<string>, root string"), "paths")
 
 
@@ -161,7 +161,7 @@ def _counted(rows: DataFrame) -> tuple[DataFrame, int]:
     return rows.join(trees, "tree").withColumn("i", F.col("place") - F.col("first")).drop("first", "place"), most
 
 
-def manifest(rows: DataFrame, group: str, order: str, leaf: Column, tampered: Column) -> DataFrame:
+def manifest(rows: DataFrame, group: str, order: str, leaf: Column, tampered: Column, block: int = BLOCK) -> DataFrame:
     """One row for each of `rows`: its key (column `order`), leaf, subroot, root, proof_sha256, folded_root and verified.
 
     Leaves of each `group` (null: one of its own, which comes first) ascend by `order` (nulls first, ties by leaf; rows that
@@ -174,33 +174,33 @@ def manifest(rows: DataFrame, group: str, order: str, leaf: Column, tampered: Co
     kind = dict(hashed.dtypes)["key"]
     placed, most = _counted(numbered(hashed, ["tree", "key", "node"], "place"))
     placed = written(placed.withColumn("key", F.col("key").cast("string")), "leaves")  # pandas has no long with nulls
-    blocks = upper_paths(placed.select("tree", "i", "n", "node"), most)
+    blocks = upper_paths(placed.select("tree", "i", "n", "node"), most, block)
     subroots = written(blocks.filter("block = 0").select("tree", F.col("root").alias("node")), "subroots")
     top = numbered(subroots, ["tree"], "i").withColumn("tree", F.struct("tree", "node")).select(F.lit("").alias("tree"), "i", F.col("tree").alias("of"))
     top = written(top.crossJoin(top.agg(F.count("*").alias("n"))), "tops")  # one row
     trees = top.agg(F.max("n")).first()[0] or 0
-    above = upper_paths(top.select("tree", "i", "n", F.col("of.node").alias("node")), trees)
+    above = upper_paths(top.select("tree", "i", "n", F.col("of.node").alias("node")), trees, block)
 
     def climb(key: tuple, pdf: pd.DataFrame, up: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         rest = list(up["path"].iloc[0])
-        return pd.DataFrame({"tree": pdf["of"].map(lambda x: x["tree"]), "above": [p + rest for p in traverse([x["node"] for x in pdf["of"]], _levels(int(pdf["n"].iloc[0])))], "root": up["root"].iloc[0]})
+        return pd.DataFrame({"tree": pdf["of"].map(lambda x: x["tree"]), "above": [p + rest for p in traverse([x["node"] for x in pdf["of"]], _levels(int(pdf["n"].iloc[0]), block))], "root": up["root"].iloc[0]})
 
-    crowns = top.groupBy("tree", F.expr(f"i div {BLOCK}").alias("block")).cogroup(above.groupBy("tree", "block")).applyInPandas(climb, "tree string, above array<string>, root string")
+    crowns = top.groupBy("tree", F.expr(f"i div {block}").alias("block")).cogroup(above.groupBy("tree", "block")).applyInPandas(climb, "tree string, above array<string>, root string")
     whole = blocks.withColumnRenamed("root", "subroot").join(written(crowns, "crowns"), "tree").select("tree", "block", "path", "above", "subroot", "root")
 
     def prove(key: tuple, pdf: pd.DataFrame, up: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         rest, root = [*up["path"].iloc[0], *up["above"].iloc[0]], up["root"].iloc[0]
         out = []
-        for leaf_, changed, path in zip(pdf["node"], pdf["tampered"], traverse(pdf["node"].tolist(), _levels(int(pdf["n"].iloc[0]))), strict=True):
+        for leaf_, changed, path in zip(pdf["node"], pdf["tampered"], traverse(pdf["node"].tolist(), _levels(int(pdf["n"].iloc[0]), block)), strict=True):
             path = path + rest
             found = folded(leaf_ if changed is None else changed, path)
             out.append((digest(*(x[1:] for x in path)), found, found == root))
         proofs = pd.DataFrame(out, columns=["proof_sha256", "folded_root", "verified"], index=pdf.index)
         return pd.DataFrame({"key": pdf["key"], "leaf": pdf["node"], "subroot": up["subroot"].iloc[0], "root": root}).join(proofs)
 
-    both = placed.groupBy("tree", F.expr(f"i div {BLOCK}").alias("block")).cogroup(whole.groupBy("tree", "block"))
+    both = placed.groupBy("tree", F.expr(f"i div {block}").alias("block")).cogroup(whole.groupBy("tree", "block"))
     out = both.applyInPandas(prove, "key string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
     return out.select(F.col("key").cast(kind).alias(order), *out.columns[1:])
 

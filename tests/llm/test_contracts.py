@@ -45,6 +45,7 @@ def tables(spark, tmp_path_factory):
         spark.createDataFrame(labels[kept], LABELS).write.parquet(f"{folder}/labels.parquet")
         spark.createDataFrame(talk[kept], CONVERSATIONS).repartition(2).write.parquet(f"{folder}/conversations.parquet")
         spark.createDataFrame([("b", 1)][kept], "text string, item_id int").write.parquet(f"{folder}/benchmark.parquet")
+        spark.createDataFrame(_vectors()[kept], "vec_id long, embedding array<float>, label int, code string, error int").write.parquet(f"{folder}/embeddings.parquet")
     return docs, odd, empty
 
 
@@ -53,6 +54,11 @@ def _conversations():
     return out[::-1]
 
 
+def _vectors():
+    rows = [(i * 3, [float((i * 7 + k) % 11 - 5) / 8 for k in range(16)], [0, 1, None][i % 3], "c", 1) for i in range(30)]
+    return [*rows, (1, None, 1, "c", 1), (2, [0.5, None], None, "c", 1), (4, [float("nan")] * 16, 1, "c", 1), rows[0], (None, [0.25] * 16, None, "c", 1)]
+
+
 def _run(spark, prefix, folder):
     return __spark_entry__.queries()[prefix](spark, folder)
 
@@ -62,6 +68,35 @@ def _by_id(df, key="doc_id"):
     return got
 
 
+def test_op11(spark, tables):
+    got = _run(spark, "op11_vector_codes", tables[1]).collect()
+    total = defaultdict(int)
+    labels = defaultdict(list)
+    for i, v, label, *_ in _vectors():
+        if v and all(x is not None and x == x for x in v):
+            labels[i].append(label)
+    assert sorted((r["vec_id"] is None, r["vec_id"] or 0) for r in got) == sorted((i is None, i or 0) for i, v in labels.items() for _ in v)
+    for r in got:
+        total[labels[r["vec_id"]][0]] += r["error"]
+    assert all(r["label_error"] == total[labels[r["vec_id"]][0]] and len(r["code"]) == 16 for r in got) and len({r["codebooks_sha256"] for r in got}) == 1
+
+
+def test_op12(spark, tables):
+    docs, odd, _ = tables
+    got = _by_id(_run(spark, "op12_merkle", odd))
+    assert len(got) == len(docs) and len({r["root"] for r in got.values()}) == 1
+    for d, t, lang, source, n, *_ in docs:
+        field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+        assert got[d]["leaf"] == hashlib.sha256("".join(map(field, (d, source, lang, n, t))).encode()).hexdigest()
+        assert got[d]["verified"] == (zlib.crc32(str(d).encode()) % 7 != 0) == (got[d]["folded_root"] == got[d]["root"])
+
+
+def test_op13(spark, tables):
+    docs, odd, _ = tables
+    got = _by_id(_run(spark, "op13_personal_data", odd))
+    assert len(got) == len(docs) and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() and r["spans"] == "" for r in got.values())
+
+
 QUERIES = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
 
 
