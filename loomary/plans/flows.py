@@ -100,25 +100,26 @@ def _fresh(spark, label):
 
 @query("jsonl_lines", "select doc_id, source, lang from documents where doc_id % 2 = 0 union all select doc_id, source, lang from documents where doc_id % 3 = 0")
 def jsonl_lines(spark, d):
-    """Two appends, a dry run, and a malformed line that the lenient reader skips."""
-    docs, path = table(spark, d, "documents").select("doc_id", "source", "lang"), _fresh(spark, "jsonl")
+    """An append to a log and a dry run, and plain lines among which the lenient reader skips a malformed and a blank one."""
+    docs, path, plain = table(spark, d, "documents").select("doc_id", "source", "lang"), _fresh(spark, "jsonl"), _fresh(spark, "lines")
     sinks.append_jsonl(docs.filter("doc_id % 2 = 0"), path)
-    sinks.append_jsonl(docs.filter("doc_id % 3 = 0"), path)
     sinks.append_jsonl(docs, path, dry_run=True)
-    spark.createDataFrame([('{"doc_id": 1, "sou',), ("",)], "value string").write.mode("append").text(path)
-    return files.jsonl(spark, path, docs.schema)
+    docs.filter("doc_id % 3 = 0").write.json(plain)
+    spark.createDataFrame([('{"doc_id": 1, "sou',), ("",)], "value string").write.mode("append").text(plain)
+    return files.jsonl(spark, path, docs.schema).unionByName(files.jsonl(spark, plain, docs.schema))
 
 
 @query(
     "strict_captions",
-    "select 'p' || doc_id as path, coalesce(nullif(trim(coalesce(lang, '')), ''), 'NONE') as action, coalesce(nullif(trim(coalesce(source, '')), ''), 'NONE') as notes from documents where doc_id % 3 <> 0",
+    "select 'p' || doc_id as path, ordinal, coalesce(nullif(trim(coalesce(lang, '')), ''), 'NONE') as action, coalesce(nullif(trim(coalesce(source, '')), ''), 'NONE') as notes from (select *, row_number() over (order by doc_id) - 1 as ordinal from documents) where doc_id % 3 <> 0",
 )
 def strict_captions(spark, d):
-    """Caption records as lines; those that aren't ok are left out, repeated paths would stay."""
+    """Caption records as lines of several files; those that aren't ok are left out. The ordinal is the line's place over all files."""
     own, path = table(spark, d, "documents"), _fresh(spark, "captions")
     caption = F.struct(F.col("lang").alias("action"), F.col("source").alias("notes"))
-    sinks.append_jsonl(own.select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), (F.col("doc_id") % 3 != 0).alias("ok"), caption.alias("caption")), path)
-    return files.captions(spark, path, CAPTION_RECORD, ["action", "notes"]).select("path", "action", "notes")
+    lines = own.select("doc_id", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), (F.col("doc_id") % 3 != 0).alias("ok"), caption.alias("caption"))
+    lines.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.json(path)
+    return files.captions(spark, path, CAPTION_RECORD, ["action", "notes"]).select("path", "ordinal", "action", "notes")
 
 
 @query("catalog_csv", "select 'p' || doc_id as path, coalesce(source, '') as notes, 'a \"b\", ' || chr(10) || 'c' as action from documents")

@@ -1,19 +1,16 @@
-"""Sources: image folders, lenient and strict JSON lines, keyed CSV, packs, vector tables and settings files."""
+"""Sources: image folders, lenient and strict JSON lines, keyed CSV, packs and vector tables."""
 
 from __future__ import annotations
 
-import os
-import re
-import shlex
-from collections.abc import Mapping
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize_caption, path_order, semantic_text, suffix
 from ..operators.stores import captioned, last_per_key
 from ..schema import CLUSTER_COLUMNS, IMAGE_SUFFIXES, PACK, VECTORS
+from ..shared import numbered
+from .log import COMMIT, POSITION, Store, is_store
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -28,25 +25,45 @@ def images(spark: SparkSession, folder: str, recursive: bool = True) -> DataFram
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Lenient: a missing file has no rows; blank and malformed lines are skipped."""
+    """Lenient: a missing file has no rows; blank and malformed lines are skipped. Rows of a log (sinks.append_jsonl) come in the
+    order in which they were appended."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
+    if is_store(spark, path):
+        return Store(spark, path, schema, form="json").rows().orderBy(COMMIT, POSITION).select(*schema.names)
     marked = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     found = spark.read.schema(marked).option("columnNameOfCorruptRecord", "_bad").json(path)
     return found.filter(F.col("_bad").isNull() & F.greatest(*[F.col(f.name).isNotNull() for f in schema.fields])).drop("_bad")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, _line_number, ordinal, line) of text files: the line's number in its file (from 1, blank lines count) and its place
+    over all files (from 0), which are taken by name.
+
+    Files are read in splits, side by side. A split's lines have ascending ids; how many lines stand in the splits before it
+    follows from one count a split.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    splits = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "block", "first", before(Window.partitionBy("file").orderBy("block")).alias("above"), before(Window.orderBy("file", "block")).alias("ahead"))
+    at = F.col("id") - F.col("first")
+    return raw.join(starts, ["file", "block"]).select("file", (F.col("above") + at + 1).alias("_line_number"), (F.col("ahead") + at).alias("ordinal"), "line")
+
+
 def strict_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows with _line_number (blank lines count); the first malformed line raises ValueError.
+    """Rows with file, _line_number and ordinal (see numbered_lines); the first malformed line raises ValueError.
 
-    Lines are numbered per file, so a file is read whole: for hand-made files of annotations, not for corpora.
+    A log (sinks.append_jsonl) has an ordinal by its commits and no line numbers: its lines were never written by hand.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    lines = whole.filter(F.trim("line") != "").select("file", (F.col("n") + 1).cast("long").alias("_line_number"), "line")
+    if is_store(spark, path):
+        rows = Store(spark, path, schema, form="json").rows()
+        return numbered(rows, [COMMIT, POSITION], "ordinal").select(*schema.names, F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("_line_number"), "ordinal")
+    lines = numbered_lines(spark, path).filter(F.trim("line") != "")
     bad = lines.filter(F.try_parse_json("line").isNull()).orderBy("file", "_line_number").first()
     if bad:
         raise ValueError(f"{bad['file']}:{bad['_line_number']}: not JSON")
-    return lines.select(F.from_json("line", schema).alias("r"), "_line_number").select("r.*", "_line_number")
+    return lines.select(F.from_json("line", schema).alias("r"), "file", "_line_number", "ordinal").select("r.*", "file", "_line_number", "ordinal")
 
 
 def pack_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,17 +76,20 @@ def pack_images(spark: SparkSession, folder: str) -> DataFrame:
 
 def captions(spark: SparkSession, path: str, schema: T.StructType, fields: list[str]) -> DataFrame:
     """Strict captions: a malformed line raises; (path, ordinal, fields .., semantic_text) of rows that are ok and have a path.
-    Repeated paths stay."""
+    Repeated paths stay. Ordinals are unique over all part files."""
     rows = captioned(strict_jsonl(spark, path, schema))
     caption = normalize_caption(F.col("caption"))
-    own = rows.select("path", (F.col("_line_number") - 1).alias("ordinal"), caption.alias("c"))
+    own = rows.select("path", "ordinal", caption.alias("c"))
     return own.select("path", "ordinal", *[F.col(f"c.{f}").alias(f) for f in fields], semantic_text(F.col("c")).alias("semantic_text"))
 
 
 def csv_by_path(spark: SparkSession, path: str, columns: list[str], key: str = "path") -> DataFrame:
-    """A CSV's last row per key, in file order; rows without key are left out."""
-    rows = csv(spark, path, columns).withColumn("_ordinal", F.monotonically_increasing_id())
-    return last_per_key(rows.filter(F.coalesce(F.col(key), F.lit("")) != ""), key, "_ordinal").drop("_ordinal")
+    """A CSV's last row per key, in order of file names and lines; rows without key are left out."""
+    rows = csv(spark, path, columns)
+    if exists(spark, path):  # a file is one split, as values may hold line ends
+        rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_ordinal": F.monotonically_increasing_id()})
+        return last_per_key(rows.filter(F.coalesce(F.col(key), F.lit("")) != ""), key, "_file", "_ordinal").drop("_file", "_ordinal")
+    return rows
 
 
 def cluster_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -127,52 +147,3 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         raise FileNotFoundError(path)
     return spark.read.parquet(path)
-
-
-#: The keys of an API's settings by priority, and their defaults.
-API_KEYS = {
-    "base_url": ["EMOJI_API_BASE_URL", "OPENAI_BASE_URL", "CHINAMOBILE_MAAS_BASE_URL"],
-    "api_key": ["EMOJI_API_KEY", "OPENAI_API_KEY", "API_KEY", "BAYES_API_KEY"],
-    "model": ["EMOJI_API_MODEL", "OPENAI_MODEL", "VISION_MODEL", "CHINAMOBILE_MAAS_MODEL"],
-}
-API_DEFAULTS = {"base_url": "https://api.openai.com/v1", "api_key": "", "model": "gpt-4o-mini"}
-_SETTING = re.compile(r"""\s*(?:export\s+)?(?P<key>[^#=\s][^=]*?)\s*=\s*(?P<value>.*?)\s*""", re.S)
-
-
-def setting(line: str) -> tuple[str, str] | None:
-    """(key, value) of a KEY=VALUE line, `export` before it or not; None for blank lines, remarks and others.
-
-    A value that starts with a quote is its first word as a shell reads it; any other is literal (backslashes too) up to
-    a blank with # after it.
-    """
-    m = _SETTING.fullmatch(line)
-    if not m:
-        return None
-    value = m["value"]
-    if value[:1] not in ("'", '"'):
-        return m["key"], value.partition(" #")[0].strip()
-    words = shlex.shlex(value, posix=True, punctuation_chars=False)
-    words.whitespace_split, words.commenters = True, ""
-    try:
-        return m["key"], words.get_token() or ""
-    except ValueError:  # an open quote
-        return m["key"], value.strip("'\"")
-
-
-def settings(path: str) -> dict[str, str]:
-    """The settings of a local file; the last line of a key wins, and a missing file has none."""
-    if not os.path.exists(path):
-        return {}
-    with open(path, encoding="utf-8") as f:
-        return dict(filter(None, map(setting, f)))
-
-
-def api_settings(values: dict[str, str], environment: Mapping[str, str]) -> dict[str, str]:
-    """base_url, api_key and model: for each the first key that is set in the environment or else in the file."""
-    return {name: next((v for k in keys if (v := environment.get(k) or values.get(k))), API_DEFAULTS[name]) for name, keys in API_KEYS.items()}
-
-
-def local_path(value: str | None, default: str, root: str) -> str:
-    """A path from a setting: `~` is the home folder, a relative one lies below root, a blank one is the default."""
-    chosen = os.path.expanduser(value or default)
-    return chosen if os.path.isabs(chosen) else os.path.join(root, chosen)

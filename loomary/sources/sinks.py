@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import json
-import os
-import re
-import shlex
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CATALOG_COLUMNS, CLUSTER_COLUMNS
-from .files import setting
+from .log import Store
 
 
 def append_jsonl(df: DataFrame, path: str, dry_run: bool = False) -> None:
-    if not dry_run and not df.isEmpty():
-        df.write.mode("append").json(path)
+    """Append rows as JSON lines, as one commit of the log in `path`, so that appends keep their order and writers don't meet;
+    files.jsonl reads them back in order."""
+    Store(df.sparkSession, path, df.schema, form="json").append(df, dry_run)
 
 
 def snapshot(df: DataFrame, root: str) -> str:
@@ -51,46 +48,6 @@ def feature_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def quoted(value: str) -> str:
-    """A setting's value, quoted where it holds white space, quotes or #."""
-    return shlex.quote(value) if re.search(r"[\s#'\"]", value) else value
-
-
-def update_settings(path: str, updates: dict[str, str]) -> None:
-    """Change keys of a local settings file where they stand and add new ones after a blank line; all other lines stay.
-
-    The file is replaced in one step, so a reader never sees half of it.
-    """
-    lines, left = [], dict(updates)
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            lines = f.read().splitlines()
-    for k, line in enumerate(lines):
-        found = setting(line)
-        if found and found[0] in updates:
-            lines[k] = f"{found[0]}={quoted(updates[found[0]])}"
-            left.pop(found[0], None)
-    if lines and lines[-1].strip():
-        lines.append("")
-    lines += [f"{k}={quoted(v)}" for k, v in left.items()]
-    with open(f"{path}.part", "w", encoding="utf-8") as f:
-        f.write("\n".join(lines).rstrip() + "\n")
-    os.replace(f"{path}.part", path)
-
-
-def prompt_file(path: str, template: str, labels: dict[str, str], key: str = "fields") -> None:
-    """A prompt with a line per field in place of {fields}."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(template.replace(f"{{{key}}}", "\n".join(f"- {k}: {v}" for k, v in labels.items())))
-
-
-def printed(df: DataFrame, as_json: bool = False, column: str = "path") -> str:
-    """A small result as text for a terminal: a line per path, or indented JSON. For results with a limit of their own."""
-    if as_json:
-        return json.dumps([json.loads(x) for x in df.toJSON().collect()], ensure_ascii=False, indent=2)
-    return "\n".join(str(r[0]) for r in df.select(column).collect())
-
-
 def batches(df: DataFrame, path: str) -> None:
     """Rows with batch_index to a folder per batch."""
     df.write.mode("overwrite").partitionBy("batch_index").json(path)

@@ -122,25 +122,6 @@ def test_requests(spark):
     assert body["messages"][1]["content"][1] == {"type": "image_url", "image_url": {"url": "data:x", "detail": "low"}}
     assert (body["model"], body["response_format"], body["temperature"]) == ('m"1', {"type": "json_object"}, 0.1)
 
-    class Response:
-        status_code, reason_phrase, headers, text = 429, "slow down", {"a": "b"}, "later"
-
-    e = captions.api_error("m", response=Response())
-    assert (str(e), e.status, e.reason, e.headers, e.body) == ("HTTP 429: later", 429, "slow down", {"a": "b"}, "later")
-    assert str(captions.api_error("m", body="x")) == "m"
-
-
-def test_settings_in_place(tmp_path):
-    path = tmp_path / ".env"
-    assert files.settings(str(path)) == {}
-    path.write_text("# mine\nA=abc#def # remark\nP=C:\\x\nQ=\"q\" tail\nA2='it''s'\n\nodd line\n")
-    assert files.settings(str(path)) == {"A": "abc#def", "P": "C:\\x", "Q": "q", "A2": "its"}
-    sinks.update_settings(str(path), {"Q": "two words", "NEW": "x", "EMPTY": ""})
-    assert path.read_text() == "# mine\nA=abc#def # remark\nP=C:\\x\nQ='two words'\nA2='it''s'\n\nodd line\n\nNEW=x\nEMPTY=\n"
-    assert files.settings(str(path))["Q"] == "two words"
-    assert files.api_settings({"OPENAI_API_KEY": "f"}, {"API_KEY": "e", "OPENAI_MODEL": "m"}) == {"base_url": "https://api.openai.com/v1", "api_key": "f", "model": "m"}
-    assert files.local_path("", "d/x", "/r") == "/r/d/x" and files.local_path("/a", "d", "/r") == "/a"
-
 
 def test_sources_that_are_absent(spark, tmp_path):
     assert files.pack_images(spark, str(tmp_path)).count() == 0
@@ -162,9 +143,6 @@ def test_keyed_files(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text("\n\n".join(map(json.dumps, lines)))
     got = files.captions(spark, str(tmp_path / "x.jsonl"), CAPTION_RECORD, ["action", "notes"]).orderBy("ordinal").collect()
     assert [tuple(r) for r in got] == [("a", 0, "run", "NONE", "run"), ("a", 6, "NONE", "NONE", "")]
-    sinks.prompt_file(str(tmp_path / "p"), "Say:\n{fields}", {"a": "b"})
-    assert (tmp_path / "p").read_text() == "Say:\n- a: b"
-    assert sinks.printed(df.limit(1)) == "a" and json.loads(sinks.printed(df.limit(1), True))[0]["path"] == "a"
 
 
 def test_requests_are_checked():

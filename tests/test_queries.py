@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from loomary.plans import flows  # noqa: F401  it registers its queries, too
+from loomary.plans import flows, scale  # noqa: F401  they register their queries, too
 from loomary.plans.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

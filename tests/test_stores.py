@@ -129,12 +129,6 @@ def test_pack(spark, tmp_path):
         files.pack(spark, str(tmp_path / "stickers"))
 
 
-def test_settings(tmp_path):
-    path = tmp_path / ".env"
-    path.write_text("# remark\nA=1 # inline\nexport B=\"two words\"\nA=3\nbad line\n")
-    assert files.settings(str(path)) == {"A": "3", "B": "two words"}
-
-
 def test_snapshot(spark, tmp_path):
     for n in (1, 2):
         sinks.snapshot(spark.range(n), str(tmp_path / "s"))
