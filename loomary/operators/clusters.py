@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.hashing import from_hex, hamming
 from ..functions.text import safe_int
 from ..shared import numbered, written
+from .metric import blocks, euclidean_radius, forest, linkage_distances, matrix, nearest, pack
 
-BLOCK = 4096
+#: Clusters that one task takes.
+FIT = 4096
 #: Default thresholds by encoder (average linkage on cosine distance; Ward on standardised features).
 COSINE_THRESHOLD, WARD_THRESHOLD = 0.18, 2.4
 
@@ -101,24 +103,17 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     return met.select(*[z[c].alias(c) if c in z else F.col(c) for c in df.columns])
 
 
-def distances(x: np.ndarray, y: np.ndarray, method: str) -> np.ndarray:
-    """Cosine distances (average) or Euclidean ones (ward) between rows; one formula for the graph and for the merges."""
-    if method == "average":
-        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        return 1 - np.einsum("ik,jk->ij", unit(x), unit(y))
-    return np.stack([np.sqrt(((y - row) ** 2).sum(axis=1)) for row in x]) if len(x) else np.empty((0, len(y)))
-
-
-def linkage(x: np.ndarray, threshold: float, method: str) -> np.ndarray:
-    """Labels of agglomerative clustering cut below `threshold`: average linkage on cosine distance, or Ward on Euclidean.
+def linkage(x: np.ndarray, threshold: float, method: str, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Labels of agglomerative clustering cut below `threshold`: average linkage on cosine distance (of unit vectors or means of
+    them), or Ward on Euclidean. `sizes`: rows that each mean stands for (none: one each).
 
     Each row keeps its nearest other row, so a merge costs a pass over rows, not over the matrix; the matrix itself, which
     the update formulas need, is 8 n^2 bytes. Among equal distances the first pair in row order merges first.
     """
     n = len(x)
-    d = distances(x, x, method)
+    size, label = np.ones(n) if sizes is None else np.array(sizes, np.float64), np.arange(n)
+    d = linkage_distances(x, x, size, size, method, lambda d: d < threshold + 1e-6 * (1 + threshold))
     np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
     near = d.argmin(axis=1) if n else np.empty(0, np.int64)
     least = d[np.arange(n), near]
     for _ in range(n - 1):
@@ -131,6 +126,7 @@ def linkage(x: np.ndarray, threshold: float, method: str) -> np.ndarray:
             new = (a * d[i] + b * d[j]) / (a + b)
         else:
             new = np.sqrt(np.maximum(((a + size) * d[i] ** 2 + (b + size) * d[j] ** 2 - size * d[i, j] ** 2) / (a + b + size), 0))
+        new = np.round(new, 12)
         new[[i, j]] = np.inf
         new[np.isinf(d[i])] = np.inf
         d[i, :] = d[:, i] = new
@@ -143,50 +139,69 @@ def linkage(x: np.ndarray, threshold: float, method: str) -> np.ndarray:
     return label
 
 
-def agglomerate(df: DataFrame, key: str, vector: str, threshold: float, method: str = "average", blocks: int | None = None) -> DataFrame:
-    """(key, root, visual_cluster_id, cluster_size): exact agglomerative clusters.
+def agglomerate(df: DataFrame, key: str, vector: str, threshold: float, method: str = "average", fit: int = FIT, block: int | None = None) -> DataFrame:
+    """(key, root, visual_cluster_id, cluster_size): exact agglomerative clusters; root is a cluster's least key.
 
-    Merges below the threshold never leave a connected component of the graph of pairs below it, so components are
-    found first and each is clustered in a task of its own. The graph is an exact comparison of all rows, in pairs of
-    blocks (of about BLOCK rows, unless `blocks` says how many); a task sends a spanning forest of its pairs, so there
-    are fewer links than rows in it. A component has to fit one task: 8 n^2 bytes for its distances.
+    Clusters are rows of a table: id (the least key), size and mean, from which both linkages give exact distances. Merges
+    below the threshold never leave a connected component of the graph of pairs below it. Components of up to `fit` clusters
+    are clustered in a task each (8 fit^2 bytes). Larger ones go by rounds: clusters that are each other's nearest neighbour
+    merge, all at once, which leads to the same clusters as one merge after another, until so few are left or nothing merges.
+    Both steps compare only blocks that the triangle inequality doesn't keep apart. Equal vectors are one cluster from the
+    start. Keys are unique; rows with a null key or vector are left out.
     """
     if method not in ("average", "ward"):
         raise ValueError(f"unknown method {method}")
-    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = blocks or max(1, -(-rows.count() // BLOCK))
-    side = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    mine = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    pairs = side.withColumn("other", mine).select("key", "v", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("key").sort_values("key")
-        x, keys = np.array(pdf["v"].tolist()), pdf["key"].to_numpy()
-        label, a, b = np.arange(len(x)), [], []
-        for at in range(0, len(x), 512):
-            near = distances(x[at : at + 512], x, method) < threshold
-            for row, hit in enumerate(near, at):
-                linked = np.unique(label[hit])
-                for other in linked[linked != label[row]]:  # another tree of the forest
-                    a.append(keys[label[row]])
-                    b.append(keys[other])
-                    label[label == other] = label[row]
-        return pd.DataFrame({"a": a, "b": b}, dtype=object if not a else None)
-
-    kind = dict(df.dtypes)[key]
-    edges = pairs.groupBy("p", "q").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
-    roots = components(edges, rows.select(F.col("key").alias("node")))
+    kind, radius = dict(df.dtypes)[key], euclidean_radius(threshold, method)
+    rows = written(pack(df.filter(F.col(key).isNotNull()), key, vector, method == "average"), "packed")
+    whole = F.col("vec") if method == "ward" else F.when(F.ltrim(F.hex("vec"), F.lit("0")) == "", F.concat("vec", F.col("id").cast("string").cast("binary"))).otherwise(F.col("vec"))
+    joined = threshold > 0
+    copies = rows.groupBy((whole if joined else F.col("id")).alias("same")).agg(F.min("id").alias("root"), F.count("*").alias("size"), F.first("vec").alias("vec"))
+    first = written(copies.select("same", F.col("root").alias("id"), "size", "vec"), "clusters")
+    own = written(rows.select(F.col("id").alias("key"), (whole if joined else F.col("id")).alias("same")).join(first.select("same", "id"), "same").select("key", F.col("id").alias("now")), "labels")
+    clusters = first.select("id", "size", "vec")
+    if small := first.count() <= fit:  # all of them fit one task
+        clusters = clusters.withColumn("part", F.lit(0))
+    else:
+        roots = components(forest(blocks(clusters, radius, block), threshold, method, kind), clusters.select(F.col("id").alias("node")))
+        clusters = written(clusters.join(roots, F.col("id") == F.col("node")).select("id", "size", "vec", F.col("root").alias("part")), "clusters")
+    moves, large = [], clusters.select("part").limit(0)
+    while not small:
+        large = clusters.groupBy("part").agg(F.count("*").alias("m")).filter(F.col("m") > fit).select("part")
+        big = written(clusters.join(large, "part", "left_semi"), "big")
+        near = written(nearest(blocks(big, radius, block), threshold, method, kind), "nearest") if not big.isEmpty() else None
+        merged = None if near is None else written(near.alias("n").join(near.select(F.col("id").alias("i"), F.col("other").alias("o")), (F.col("other") == F.col("i")) & (F.col("n.id") == F.col("o")) & (F.col("n.id") < F.col("other"))).select(F.col("n.id").alias("a"), F.col("other").alias("b")), "merged")
+        if merged is None or merged.isEmpty():
+            break
+        moves.append(merged)
+        clusters = written(_merge(clusters, merged), "clusters")
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key").reset_index(drop=True)
-        label = linkage(np.array(pdf["v"].tolist()), threshold, method)
-        first = pdf.groupby(label)["key"].transform("min")
-        return pd.DataFrame({"key": pdf["key"], "root": first})
-
-    found = rows.join(roots, F.col("key") == F.col("node")).select("key", "v", "root").groupBy("root").applyInPandas(cut, f"key {kind}, root {kind}")
-    sizes = found.groupBy("root").agg(F.count("*").alias("cluster_size"))
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        label = linkage(matrix(pdf["vec"]), threshold, method, pdf["size"].to_numpy(np.float64))
+        return pd.DataFrame({"was": pdf["id"], "root": pdf.groupby(label)["id"].transform("min")})
+
+    settled = clusters.join(large, "part", "left_anti").groupBy("part").applyInPandas(cut, f"was {kind}, root {kind}")
+    settled = settled.unionByName(clusters.join(large, "part", "left_semi").select(F.col("id").alias("was"), F.col("id").alias("root")))
+    for merged in moves:
+        own = own.join(merged.select("a", "b"), F.col("now") == F.col("b"), "left").select("key", F.coalesce("a", "now").alias("now"))
+    out = written(own.join(settled, F.col("now") == F.col("was")).select("key", "root"), "clustered")
+    sizes = out.groupBy("root").agg(F.count("*").alias("cluster_size"))
     named = _named(sizes, "visual", "visual_cluster_id")
-    return found.join(named, "root").select(F.col("key").alias(key), "root", "visual_cluster_id", "cluster_size")
+    return out.join(named, "root").select(F.col("key").alias(key), "root", "visual_cluster_id", "cluster_size")
+
+
+def _merge(clusters: DataFrame, merged: DataFrame) -> DataFrame:
+    """Clusters (id, size, vec, part) after b went into a: sizes added up, means weighted by them."""
+
+    @F.pandas_udf("binary")
+    def mean(u: pd.Series, m: pd.Series, v: pd.Series, n: pd.Series) -> pd.Series:
+        both = zip(u, m, v, n, strict=True)
+        return pd.Series([((np.frombuffer(a) * p + np.frombuffer(b) * q) / (p + q)).tobytes() for a, p, b, q in both], dtype=object)
+
+    of = clusters.select(F.col("id").alias("b"), F.col("size").alias("n"), F.col("vec").alias("v"))
+    new = clusters.join(merged, F.col("id") == F.col("a")).join(of, "b").select("id", (F.col("size") + F.col("n")).alias("size"), mean("vec", "size", "v", "n").alias("vec"), "part")
+    gone = merged.select(F.explode(F.array("a", "b")).alias("id"))
+    return clusters.join(gone, "id", "left_anti").unionByName(new)
 
 
 def cluster_features(made: DataFrame, encoder: str = "handcrafted", threshold: float | None = None, bound: int = 4) -> DataFrame:

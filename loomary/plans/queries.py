@@ -514,12 +514,30 @@ def standardise(spark, d):
     return clusters.standardise(wide, [*names, "same"]).select("vec_id", *[F.round(n, DIGITS).alias(n) for n in [*names, "same"]])
 
 
-@query("agglo_average")
+def _agglomerated(rows: str, distance: str, threshold: float) -> str:
+    """The same by rounds in which mutual nearest neighbours merge; rows: (id, mean) of single vectors."""
+    return f"""with recursive c as (
+      select 0 as round, id, 1::bigint as size, mean, [id] as members from ({rows})
+      union all
+      (with cur as (select * from c), n as (select a.id, arg_min(b.id, ({distance}, b.id)) as other from cur a join cur b on a.id <> b.id where {distance} < {threshold} group by a.id),
+        m as (select n.id as a, n.other as b from n join n k on n.other = k.id and k.other = n.id and n.id < n.other)
+      select x.round + 1, x.id, x.size + coalesce(y.size, 0), case when y.id is null then x.mean else list_transform(list_zip(x.mean, y.mean), lambda z: (z[1] * x.size + z[2] * y.size) / (x.size + y.size)) end, x.members || coalesce(y.members, [])
+      from cur x left join m on m.a = x.id left join cur y on y.id = m.b where x.id not in (select b from m) and exists (from m))),
+    g as (select id as root, size as cluster_size, members, printf('visual_%04d', row_number() over (order by id) - 1) as visual_cluster_id from c where round = (select max(round) from c))
+    select unnest(members) as vec_id, root, visual_cluster_id, cluster_size from g"""
+
+
+_UNIT = "select vec_id as id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as mean from (" + EMBEDDED + ")"
+_SCALED = "select vec_id as id, [" + ", ".join(f"(e[{i}] - avg(e[{i}]) over ()) / stddev_pop(e[{i}]) over ()" for i in range(1, 65)) + "] as mean from (" + EMBEDDED + ")"
+_WARD = "sqrt(2.0 * a.size * b.size / (a.size + b.size)) * list_distance(a.mean, b.mean)"
+
+
+@query("agglo_average", _agglomerated(_UNIT, "1 - list_inner_product(a.mean, b.mean)", 0.6))
 def agglo_average(spark, d):
     return clusters.agglomerate(table(spark, d, "embeddings"), "vec_id", "embedding", 0.6)
 
 
-@query("agglo_ward")
+@query("agglo_ward", _agglomerated(_SCALED, _WARD, 8.5))
 def agglo_ward(spark, d):
     df = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(64)])
     z = clusters.standardise(df, [f"x{i}" for i in range(64)])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomary.functions import features, hashing
-from loomary.operators import clusters, vectors
+from loomary.operators import clusters, metric, vectors
 from loomary.sources import files, sinks
 
 FIELDS = ["expression", "notes"]
@@ -82,15 +82,55 @@ def test_chain_is_one_group(spark):
     assert {got[i] for i in range(12)} == {("dup_0000", 12)} and got[99] == ("dup_0001", 1)
 
 
-@pytest.mark.parametrize(("method", "threshold"), [("average", 0.3), ("ward", 1.0)])
-def test_decomposition_is_whole_clustering(spark, method, threshold):
+def _unit(x):
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _clustered(kind):
     dice = np.random.default_rng(2)
-    x = np.concatenate([c + 0.15 * dice.normal(size=(12, 5)) for c in dice.normal(size=(4, 5)) * 2])
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "key long, v array<double>")
-    got = {r["key"]: r["root"] for r in clusters.agglomerate(df, "key", "v", threshold, method, 3).collect()}
-    whole = clusters.linkage(x, threshold, method)
-    assert len(set(whole)) > 1
+    if kind == "random":
+        return np.concatenate([c + 0.15 * dice.normal(size=(12, 5)) for c in dice.normal(size=(4, 5)) * 2])
+    if kind == "tied":  # copies, equal distances and zero vectors
+        grid = np.array([[i, j, 0] for i in range(4) for j in range(4)], float)
+        return np.concatenate([grid, grid[3:8], np.eye(3) * 7, np.eye(3) * 7])
+    steps = np.cumsum(1 + 0.01 * np.arange(12))  # each nearest neighbour is the one before: a merge a round
+    return np.stack([np.cos(steps / 20), np.sin(steps / 20)], axis=1) * 20
+
+
+@pytest.mark.parametrize(("method", "threshold", "kind", "fit"), [("average", 0.3, "random", 8), ("ward", 1.5, "tied", 4), ("ward", 4.0, "chain", 7), ("average", 0.2, "tied", 4096)])
+def test_rounds_are_whole_clustering(spark, method, threshold, kind, fit):
+    """A small fit: rounds of mutual nearest neighbours, then tasks; 4096: one task."""
+    x = _clustered(kind)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(None, [1.0]), (1000, None)], "key long, v array<double>")
+    rows = clusters.agglomerate(df, "key", "v", threshold, method, fit, 16).collect()
+    got = {r["key"]: r["root"] for r in rows}
+    whole = clusters.linkage(_unit(x) if method == "average" else x, threshold, method)
+    assert 1 < len(set(whole)) < len(x) and len(rows) == len(x)
     assert [[got[i] == got[j] for j in range(len(x))] for i in range(len(x))] == (whole[:, None] == whole[None]).tolist()
+    assert all(r["cluster_size"] == sum(v == r["root"] for v in got.values()) and r["root"] == min(k for k, v in got.items() if v == r["root"]) for r in rows)
+
+
+def test_clusters_of_strings_and_of_nothing(spark):
+    df = spark.createDataFrame([("é", [1.0, 0.0]), ("b", [1.0, 0.01]), ("c", [0.0, 1.0])], "key string, v array<float>")
+    got = {r["key"]: (r["root"], r["visual_cluster_id"], r["cluster_size"]) for r in clusters.agglomerate(df, "key", "v", 0.1).collect()}
+    assert got == {"é": ("b", "visual_0000", 2), "b": ("b", "visual_0000", 2), "c": ("c", "visual_0001", 1)}
+    assert clusters.agglomerate(df.limit(0), "key", "v", 0.1).count() == 0
+
+
+@pytest.mark.parametrize(("shape", "threshold"), [("euclidean", 1.0), ("cosine", 0.02)])
+def test_threshold_join_is_that_of_all_pairs(spark, shape, threshold):
+    dice = np.random.default_rng(5)
+    x = np.concatenate([c + 0.12 * dice.normal(size=(60, 6)) for c in dice.normal(size=(25, 6)) * 9])
+    x[7], x[8], x[9] = x[6], 0, 0
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(None, [1.0] * 6), (9999, None)], "key long, v array<double>").repartition(4)
+    pairs, found = metric.near_pairs(df, "key", "v", threshold, shape, 40)
+    y = _unit(x) if shape == "cosine" else x
+    d = 1 - y @ y.T if shape == "cosine" else np.sqrt(((y[:, None] - y[None]) ** 2).sum(axis=2))
+    got = {(r["a"], r["b"]): r["distance"] for r in pairs.collect()}
+    assert set(got) == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] < threshold}
+    assert all(v == pytest.approx(d[k], abs=1e-9) for k, v in got.items())
+    assert found.compared() < 0.1 * len(x) * (len(x) - 1) / 2
+    assert metric.near_pairs(df.limit(0), "key", "v", threshold, shape)[0].count() == 0
 
 
 def test_constant_columns_are_zero(spark):
@@ -198,7 +238,7 @@ def test_close_codes_are_all_found(spark):
 
 def _full_matrix(x, threshold, method):
     """Agglomerative clustering by the whole matrix at each step."""
-    d = clusters.distances(x, x, method)
+    d = metric.linkage_distances(x, x, np.ones(len(x)), np.ones(len(x)), method, lambda d: d < 1e9)
     groups = {i: [i] for i in range(len(x))}
     np.fill_diagonal(d, np.inf)
     while len(groups) > 1:
@@ -220,6 +260,7 @@ def test_linkage_is_that_of_the_whole_matrix(method, threshold):
     dice = np.random.default_rng(8)
     for n in (0, 1, 2, 60):
         x = np.round(dice.normal(size=(n, 3)), 1)
+        x = _unit(x) if method == "average" else x
         label = clusters.linkage(x, threshold, method)
         assert {frozenset(np.flatnonzero(label == v).tolist()) for v in set(label)} == (_full_matrix(x, threshold, method) if n else set())
 
