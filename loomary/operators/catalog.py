@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, joined_text, normalize_text, stem
-from ..shared import numbered
+from ..shared import numbered, written
 
 
 def export(images: DataFrame, *stores: tuple[DataFrame, dict[str, str]], key: str = "path") -> DataFrame:
@@ -73,9 +73,11 @@ def export_batches(images: DataFrame, done: DataFrame, size: int, limit: int = 0
 
 def validate_external(rows: DataFrame, key: str, line: str) -> DataFrame:
     """Rows with `problem`: null, missing path, or duplicate path (after the first row with that path)."""
-    blank = normalize_text(F.col(key)) == ""
-    rank = F.row_number().over(Window.partitionBy(normalize_text(F.col(key)), blank).orderBy(line))
-    return rows.withColumn("problem", F.when(blank, F.lit("missing path")).when(rank > 1, F.lit("duplicate path")))
+    path = F.nullif(normalize_text(F.col(key)), F.lit(""))
+    first = rows.groupBy(path.alias("__path")).agg(F.min(line).alias("__first")).filter("__path is not null")
+    met = rows.withColumn("__own", path).join(first, F.col("__own") == F.col("__path"), "left")
+    problem = F.when(F.col("__own").isNull(), F.lit("missing path")).when(F.col(line) > F.col("__first"), F.lit("duplicate path"))
+    return met.withColumn("problem", problem).drop("__own", "__path", "__first")
 
 
 def external_item(path: Column, caption: Column, raw: Column, top: dict[str, Column], model: Column, fields: list[str]) -> dict[str, Column]:
@@ -121,25 +123,22 @@ def resolve(items: DataFrame, key: str, path: Column, code: Column, files: DataF
 
     `files`: (file, place: order of its folder, primary: in the pack's own folder, direct: can be opened by its full
     path). In turn: the literal path; the name in the pack's own folder; the name in any folder, case ignored; the code
-    against stems, case ignored. The first folder, then the first file wins.
+    against stems, case ignored. The first folder, then the first file wins. All probes of an item are rows of one keyed
+    table, so the files are exchanged once; the least rank that meets a file decides.
     """
     order = F.struct("place", F.split("file", "/"))
-    one = lambda rows, k, out: rows.groupBy(k.alias(f"k_{out}")).agg(F.min_by("file", order).alias(out))
-    name = basename(F.col("file"))
-    tables = [
-        (one(files.filter("direct"), F.col("file"), "by_path"), F.nullif(path, F.lit(""))),
-        (one(files.filter("primary"), name, "by_own"), F.nullif(basename(path), F.lit(""))),
-        (one(files, F.lower(name), "by_name"), F.nullif(F.lower(basename(path)), F.lit(""))),
-        (one(files, F.upper(stem(F.col("file"))), "by_code"), F.nullif(F.upper(code), F.lit(""))),
-    ]
-    outs = ["by_path", "by_own", "by_name", "by_code"]
-    met = items
-    for k, (_, probe) in enumerate(tables):
-        met = met.withColumn(f"probe{k}", probe)
-    for k, (table, _) in enumerate(tables):
-        met = met.join(table, F.col(f"probe{k}") == F.col(f"k_{outs[k]}"), "left")
-    found = F.coalesce(*[F.when(F.col(o).isNotNull(), F.lit(o)) for o in outs])
-    return met.withColumn("source", F.coalesce(*outs)).withColumn("found_by", found).select(*items.columns, "source", "found_by")
+    name, ways = basename(F.col("file")), ["by_path", "by_own", "by_name", "by_code"]
+    probe = lambda rank, key: F.struct(F.lit(rank).alias("rank"), key.alias("key"))
+    keys = [F.when(F.col("direct"), F.col("file")), F.when(F.col("primary"), name), F.lower(name), F.upper(stem(F.col("file")))]
+    known = files.select("file", "place", F.explode(F.array(*map(probe, range(4), keys))).alias("p")).filter("p.key is not null")
+    table = known.groupBy(F.col("p").alias("at")).agg(F.min_by("file", order).alias("file"))
+    asked = [path, basename(path), F.lower(basename(path)), F.upper(code)]
+    marked = items.select(F.struct(*[F.col(f"`{c}`") for c in items.columns]).alias("item"), F.array(*[probe(k, F.nullif(x, F.lit(""))) for k, x in enumerate(asked)]).alias("asked"))
+    marked = written(marked.withColumn("n", F.monotonically_increasing_id()), "items")
+    probes = marked.select("n", F.explode("asked").alias("at")).filter("at.key is not null")
+    way = F.element_at(F.array(*map(F.lit, ways)), F.col("at.rank") + 1)
+    best = probes.join(table, "at").select("n", "file", "at.rank", way.alias("way")).groupBy("n").agg(F.min_by(F.struct("file", "way"), "rank").alias("b"))
+    return marked.join(best, "n", "left").select("item.*", F.col("b.file").alias("source"), F.col("b.way").alias("found_by"))
 
 
 def missing_examples(resolved: DataFrame, position: str, n: int = 10) -> DataFrame:

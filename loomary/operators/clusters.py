@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -93,14 +95,57 @@ def near_duplicate_groups(hashes: DataFrame, key: str, code: str, bound: int = 4
     return classed.join(named, "code_root").select(F.col("key").alias(key), "root", "near_duplicate_group", "duplicate_group_size")
 
 
+def merged_moments(a: tuple, b: tuple) -> tuple:
+    """(counts, means, sums of squared deviations) of two sets of rows together, column by column; the order doesn't matter."""
+    n = a[0] + b[0]
+    share = b[0] / np.maximum(n, 1)
+    off = b[1] - a[1]
+    return n, a[1] + off * share, a[2] + b[2] + off * off * a[0] * share
+
+
+def _moments_of(x: np.ndarray) -> tuple:
+    there = ~np.isnan(x)
+    n = there.sum(axis=0).astype(np.float64)
+    mean = np.where(there, x, 0).sum(axis=0) / np.maximum(n, 1)
+    return n, mean, np.where(there, (x - mean) ** 2, 0).sum(axis=0)
+
+
+def moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, means and population deviations of columns by one state over all of them; nulls and NaN don't count.
+
+    A task sends one state (three arrays); states are merged by groups of 64, then all, so no task takes more than that of
+    a 64th. No rows give counts and means of zero.
+    """
+    state = "part int, n array<double>, mean array<double>, m2 array<double>"
+    row = lambda part, s: pd.DataFrame({"part": [part], "n": [s[0]], "mean": [s[1]], "m2": [s[2]]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            if len(b):
+                own = _moments_of(b[columns].to_numpy(np.float64, na_value=np.nan))
+                total = own if total is None else merged_moments(total, own)
+        if total is not None:
+            yield row(hash(total[1].tobytes()) % 64, total)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        states = [tuple(map(np.asarray, s)) for s in zip(pdf["n"], pdf["mean"], pdf["m2"], strict=True)]
+        return row(0, reduce(merged_moments, states))
+
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    found = numbers.mapInPandas(run, state).groupBy("part").applyInPandas(meet, state).collect()  # 64 rows at most
+    none = (np.zeros(len(columns)),) * 3
+    n, mean, m2 = reduce(merged_moments, [(np.array(r["n"]), np.array(r["mean"]), np.array(r["m2"])) for r in found], none)
+    return n, mean, np.sqrt(m2 / np.maximum(n, 1))
+
+
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns to mean 0 and population deviation 1; a constant column becomes 0. No columns: nothing to do."""
     if not columns:
         return df
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
-    met = df.crossJoin(F.broadcast(stats))
-    z = {c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.coalesce(F.col(f"s_{c}"), F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"s_{c}")) for c in columns}
-    return met.select(*[z[c].alias(c) if c in z else F.col(c) for c in df.columns])
+    _, mean, deviation = moments(df, columns)
+    z = {c: (F.col(f"`{c}`").cast("double") - F.lit(float(m))) / F.lit(float(s) if s > 1e-12 * (1 + abs(m)) else 1.0) for c, m, s in zip(columns, mean, deviation, strict=True)}
+    return df.select(*[z[c].alias(c) if c in z else F.col(f"`{c}`") for c in df.columns])
 
 
 def linkage(x: np.ndarray, threshold: float, method: str, sizes: np.ndarray | None = None) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import folder_name, image_url, sticker_name, suffix
@@ -63,14 +63,14 @@ def import_plan(files: DataFrame, known: DataFrame, sha256: str, order: str, pre
     with a limit, the key of the last row that may be imported comes from a top-k, so nothing is numbered in one task.
     """
     seen = known.select(F.col(sha256).alias("k")).distinct().withColumn("known", F.lit(True))
-    rank = F.row_number().over(Window.partitionBy(sha256).orderBy(order))
-    met = files.withColumn("rn", rank).join(seen, F.col(sha256) == F.col("k"), "left")
-    duplicate = F.lit(False) if keep_duplicates else F.col("known").isNotNull() | (F.col("rn") > 1)
+    first = files.groupBy(F.col(sha256).alias("h")).agg(F.min(order).alias("__first"))  # aggregated before the exchange: a common file is no burden
+    met = files.join(first, F.col(sha256).eqNullSafe(F.col("h"))).join(seen, F.col(sha256) == F.col("k"), "left")
+    duplicate = F.lit(False) if keep_duplicates else F.col("known").isNotNull() | (F.col(order) > F.col("__first"))
     if present is not None:
         there = present.select(F.col(order).alias("p")).distinct().withColumn("there", F.lit(True))
         met = met.join(there, F.col(order) == F.col("p"), "left").drop("p")
     exists = F.col("there").isNotNull() if present is not None else F.lit(False)
-    plan = met.withColumn("action", F.when(duplicate, "skipped_duplicate").when(exists, "exists").otherwise("imported")).drop("k", "known", "rn", "there")
+    plan = met.withColumn("action", F.when(duplicate, "skipped_duplicate").when(exists, "exists").otherwise("imported")).drop("k", "known", "h", "__first", "there")
     if limit <= 0:
         return plan
     top = plan.filter(F.col("action") == "imported").select(order).orderBy(order).limit(limit)

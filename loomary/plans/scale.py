@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bulk, metric
 from ..shared import new_path, numbered
 from ..sources.log import Store
-from .queries import query, table
+from .flows import _counts, _index, _long, _score
+from .queries import DIGITS, EMBEDDED, query, table
 
 # A store with a commit log.
 
@@ -55,3 +57,47 @@ def store_rewrite(spark, d):
     number = store.rewrite(lambda rows: rows.filter("doc_id % 2 = 1").withColumn("lang", F.upper("lang")))
     assert store.rows(number - 1).count() > store.rows().count()
     return store.rows().select("source", "doc_id", "lang", "commit")
+
+
+# Vectors: all near pairs, many searches at once, a search that reads few cells.
+
+
+@query(
+    "near_vectors",
+    f"""with v as (select vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as u from ({EMBEDDED}))
+    select a.vec_id as a, b.vec_id as b, round(1 - list_inner_product(a.u, b.u), {DIGITS}) as distance from v a join v b on a.vec_id < b.vec_id where 1 - list_inner_product(a.u, b.u) < 0.5""",
+)
+def near_vectors(spark, d):
+    """All pairs of vectors at cosine distance below 0.5, blocks that are too far apart never being compared."""
+    pairs, _ = metric.near_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.5, "cosine")
+    return pairs.withColumn("distance", F.round("distance", DIGITS))
+
+
+@query(
+    "search_many",
+    f"""with v as ({EMBEDDED}), s as (select a.vec_id as query, b.vec_id as vec_id, round(list_inner_product(a.e, b.e), {DIGITS}) as score from v a, v b where a.vec_id % 2 = 0)
+    select query, row_number() over (partition by query order by score desc, vec_id) as rank, vec_id, score from s qualify rank <= 10""",
+)
+def search_many(spark, d):
+    """The ten best rows for every second one, in one pass over the table."""
+    v = table(spark, d, "embeddings")
+    queries = v.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    return bulk.search_many(queries, v, 10, "vec_id", "embedding", "query", DIGITS)
+
+
+def _cells_search(mode):
+    def run(spark, d):
+        root = new_path(spark, "query-cells")
+        bulk.write_cells(_index(spark, d), root, 16)
+        got, _ = bulk.search_cells(spark, root, "src 12", _counts, top=20, mode=mode)
+        return got.select("path", "ordinal", F.round("score", DIGITS).alias("score"), "best_field", F.size("field_scores").alias("n"), F.col("fields")["lang"].alias("lang"))
+
+    return run
+
+
+for _mode, _agg in (("max", "max(s)"), ("mean", "avg(s)"), ("sum", "sum(s)")):
+    query(
+        f"cells_search_{_mode}",
+        f"""with {_long}, s as (select *, {_score} as s from i), a as (select path, ordinal, coalesce({_agg}, -1.0) as score, max(s) as m, count(s) as n, max(text) filter (field = 'lang') as lang, max(s) filter (field = 'lang') as sl from s group by path, ordinal)
+        select path, ordinal, round(score, 6) as score, case when n = 0 then '' when sl = m then 'lang' else 'source' end as best_field, n, lang from a order by score desc, ordinal limit 20""",
+    )(_cells_search(_mode))
