@@ -3,7 +3,8 @@
 A key is a pair of longs. The first histogram has CELLS cells over the range of the first part. Each splitter then
 looks into the cell that holds its target: that cell is cut into finer cells, first by the first part of the key and,
 once that has a single value left (a group of equal first parts, however large), by the second. Counts are exact, so
-each refinement is. The driver sees at most about CELLS cells a round, whatever the size of the input.
+each refinement is. Splitters are refined in groups, so that the driver reads ROUND counts at a time at most, whatever the
+size of the input; what it keeps is one splitter a range.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 CELLS = 1 << 14
 ROUND = 1 << 16
+#: Finer cells of a cell, at least.
+LEAST = 8
 LOW = -(1 << 63)
 
 
@@ -124,24 +127,29 @@ def find_ranges(df: DataFrame, key1: str, key2: str, weight: str, parts: int, to
                 inside.setdefault(c, []).append(i)
         if not inside:
             break
-        fine = max(8, ROUND // len(inside))
-        asked = []
-        for n, c in enumerate(inside):
-            wide = (c.high1 - c.low1 if c.by == 1 else c.high2 - c.low2) // fine + 1
-            asked.append((_div(c.low1, step), n, c.low1, c.high1, c.low2, c.high2, c.by == 1, wide))
-        table = df.sparkSession.createDataFrame(asked, "c long, n int, low1 long, high1 long, low2 long, high2 long, first boolean, wide long")
-        hit = keys.withColumn("c", cell).join(F.broadcast(table), "c").filter("k1 between low1 and high1 and (first or k2 between low2 and high2)")
-        counted = hit.groupBy("n", F.expr("if(first, k1, k2) div wide").alias("c")).agg(*_sums("w")).collect()
-        by_cell: dict[int, list] = {}
-        for r in counted:
-            by_cell.setdefault(r[0], []).append(r[2:])
-        open_at = {}
-        for n, (c, wanted) in enumerate(inside.items()):
-            cells = _cells(by_cell[n], c.below, c.rows_below, c.first and c.by == 1)
-            open_at |= dict.fromkeys(wanted, cells)
+        open_at, cells_of = {}, list(inside.items())
+        for k in range(0, len(cells_of), ROUND // LEAST):
+            group = cells_of[k : k + ROUND // LEAST]
+            for (c, wanted), counted in zip(group, _finer(df, keys, cell, step, [c for c, _ in group]), strict=True):
+                open_at |= dict.fromkeys(wanted, _cells(counted, c.below, c.rows_below, c.first and c.by == 1))
     return Ranges([found[i] for i in sorted(found)], _div(whole[0], step), _div(whole[1], step), step, total, int(whole[5]))
 
 
+def _finer(df: DataFrame, keys: DataFrame, cell: Column, step: int, inside: list[Cell]) -> list[list]:
+    """For each of these cells (ROUND // LEAST at most), the counts of the finer cells in it: ROUND in all at most."""
+    fine = ROUND // len(inside)
+    asked = []
+    for n, c in enumerate(inside):
+        wide = (c.high1 - c.low1 if c.by == 1 else c.high2 - c.low2) // fine + 1
+        asked.append((_div(c.low1, step), n, c.low1, c.high1, c.low2, c.high2, c.by == 1, wide))
+    table = df.sparkSession.createDataFrame(asked, "c long, n int, low1 long, high1 long, low2 long, high2 long, first boolean, wide long")
+    hit = keys.withColumn("c", cell).join(F.broadcast(table), "c").filter("k1 between low1 and high1 and (first or k2 between low2 and high2)")
+    out: list[list] = [[] for _ in inside]
+    for r in hit.groupBy("n", F.expr("if(first, k1, k2) div wide").alias("c")).agg(*_sums("w")).collect():
+        out[r[0]].append(r[2:])
+    return out
+
+
 def _low(c: Cell) -> Split:
     return Split(c.low1, LOW if c.first else c.low2, c.below, c.rows_below)
 
