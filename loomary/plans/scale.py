@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import bulk, metric
 from ..shared import new_path, numbered
 from ..sources.log import Store
+from ..streaming import state
 from .flows import _counts, _index, _long, _score
 from .queries import DIGITS, EMBEDDED, query, table
 
@@ -101,3 +102,28 @@ for _mode, _agg in (("max", "max(s)"), ("mean", "avg(s)"), ("sum", "sum(s)")):
         f"""with {_long}, s as (select *, {_score} as s from i), a as (select path, ordinal, coalesce({_agg}, -1.0) as score, max(s) as m, count(s) as n, max(text) filter (field = 'lang') as lang, max(s) filter (field = 'lang') as sl from s group by path, ordinal)
         select path, ordinal, round(score, 6) as score, case when n = 0 then '' when sl = m then 'lang' else 'source' end as best_field, n, lang from a order by score desc, ordinal limit 20""",
     )(_cells_search(_mode))
+
+
+# A stream of changes with state.
+
+
+@query(
+    "stream_state",
+    """with e as (select 'p' || doc_id % 40 as path, doc_id * 7919 % 100003 as seq, doc_id % 9 = 4 as removed, lang from documents),
+    l as (select path, max(seq) as seq, arg_max(removed, seq) as removed, arg_max(lang, seq) as lang from e group by path)
+    select path, seq, lang as text, length(lang) as v0 from l where not removed""",
+)
+def stream_state(spark, d):
+    """Documents as changes of forty paths, out of order and each twice, in four batches: the table as the last ones leave it."""
+    folder = new_path(spark, "query-events")
+    n = F.col("doc_id")
+    events = table(spark, d, "documents").select(n, F.concat(F.lit("p"), (n % 40).cast("string")).alias("path"), (n * 7919 % 100003).alias("seq"), F.timestamp_seconds(n * 60).alias("at"), (n % 9 == 4).alias("removed"), F.col("lang").alias("payload"))
+    for k in range(4):
+        own = events.filter((n % 4 == k) | (n % 4 == (k + 1) % 4)).drop("doc_id")
+        own.coalesce(1).write.mode("append").json(folder)
+    encode = lambda df: df.select("path", F.col("payload").alias("text"), F.length("payload").alias("v0"))
+    schema = state.table_of(encode(spark.createDataFrame([], "path string, payload string")).schema)
+    store = Store(spark, new_path(spark, "query-synced"), schema)
+    stream = spark.readStream.schema("path string, seq long, at timestamp, removed boolean, payload string").option("maxFilesPerTrigger", 1).json(folder)
+    state.follow(stream, encode, store, new_path(spark, "query-checkpoint")).awaitTermination()
+    return state.current(store).select("path", "seq", "text", "v0")
