@@ -55,10 +55,15 @@ def build_index(records: DataFrame, fields: list[str], encoder: Callable[[list[s
 
 
 def encoded(records: DataFrame, fields: list[str], encoder: Callable[[list[str]], np.ndarray], model: str = "") -> DataFrame:
-    """The index rows of records, however many."""
+    """The index rows of records, however many. Each distinct text is encoded once; the blank of all invalid fields, which is
+    the most common one, is encoded here and takes no part in the join that gives the others their vectors."""
     parts = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("position"), normalize_text(F.col(f)).alias("text")) for k, f in enumerate(fields)])
     long = records.select("path", "ordinal", F.explode(parts).alias("p")).select("path", "ordinal", "p.*").withColumn("valid", ~is_placeholder(F.col("text")))
-    return long.withColumn("vector", encode_column(F.when(F.col("valid"), F.col("text")).otherwise(F.lit("")), encoder)).withColumn("model", F.lit(model))
+    texts = long.filter("valid").select(F.col("text").alias("__text")).distinct()
+    vectors = texts.withColumn("vector", encode_column(F.col("__text"), encoder))
+    met = long.filter("valid").join(vectors, F.col("text") == F.col("__text")).drop("__text")
+    blank = long.filter("not valid").withColumn("vector", literal(encoder([""])[0].tolist()).cast("array<float>"))
+    return met.unionByName(blank).withColumn("model", F.lit(model))
 
 
 def index_facts(index: DataFrame) -> tuple[str | None, list[str]]:

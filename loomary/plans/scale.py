@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bulk, metric
+from ..operators import bulk, captions, metric
 from ..shared import new_path, numbered
 from ..sources.log import Store
 from ..streaming import state
@@ -127,3 +127,21 @@ def stream_state(spark, d):
     stream = spark.readStream.schema("path string, seq long, at timestamp, removed boolean, payload string").option("maxFilesPerTrigger", 1).json(folder)
     state.follow(stream, encode, store, new_path(spark, "query-checkpoint")).awaitTermination()
     return state.current(store).select("path", "seq", "text", "v0")
+
+
+# Calls with a journal.
+
+
+def _odd_ones_fail(path: str) -> str:
+    if int(path[1:]) % 7 == 0:
+        raise ValueError("no")
+    return f"c{path[1:]}"
+
+
+@query("caption_once", "select 'p' || doc_id as path, doc_id % 7 <> 0 as ok, case when doc_id % 7 <> 0 then 'c' || doc_id end as content from documents")
+def caption_once(spark, d):
+    """Every document called once: half of them in a run before, whose answers the journal gives."""
+    rows, journal = table(spark, d, "documents").select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path")), new_path(spark, "query-journal")
+    once = lambda df, run: captions.describe_once(df, _odd_ones_fail, journal, run, 8, retries=0).select("path", "ok", "content")
+    once(rows.filter("cast(substr(path, 2) as long) % 2 = 0"), "first").write.format("noop").mode("overwrite").save()
+    return once(rows, "second")
