@@ -11,6 +11,7 @@ from ..operators import bulk, captions, metric
 from ..shared import new_path, numbered
 from ..sources.log import Store
 from ..streaming import state
+from . import pipeline
 from .flows import _counts, _index, _long, _score
 from .queries import DIGITS, EMBEDDED, query, table
 
@@ -145,3 +146,30 @@ def caption_once(spark, d):
     once = lambda df, run: captions.describe_once(df, _odd_ones_fail, journal, run, 8, retries=0).select("path", "ok", "content")
     once(rows.filter("cast(substr(path, 2) as long) % 2 = 0"), "first").write.format("noop").mode("overwrite").save()
     return once(rows, "second")
+
+
+# Images to the cluster table.
+
+
+def _modelled(df):
+    """Feature rows of vectors as images: a direction for each of ten classes as the model's vector, every tenth image broken."""
+    n, fine = F.col("vec_id"), F.col("vec_id") % 10 != 3
+    vector = F.array(*[F.when(n % 7 == k, 1.0).otherwise(0.0).cast("float") for k in range(7)])
+    facts = {"file_name": F.concat(n.cast("string"), F.lit(".png")), "asset_type": F.lit("static"), "asset_confidence": F.lit(0.5), "width": F.lit(64), "height": F.lit(32), "aspect_ratio": F.lit(2.0), "suffix": F.lit(".png"), "ahash": F.lit("00"), "color_diversity": F.lit(0.25), "edge_density": F.lit(0.125), "saturation_mean": F.lit(0.75), "brightness_mean": F.lit(0.5)}
+    return df.select(F.concat(F.lit("i/"), n.cast("string")).alias("path"), F.when(fine, vector).alias("feature"), F.lower(F.lpad(F.hex("vec_id"), 16, "0")).alias("dhash"), F.when(~fine, "broken").alias("error"), *[v.alias(k) for k, v in facts.items()])
+
+
+@query(
+    "run_pipeline",
+    """with g as (select 'i/' || vec_id as path, vec_id, vec_id % 7 as k from embeddings where vec_id % 10 <> 3), r as (select k, count(*) as n, row_number() over (order by min(path)) - 1 as place from g group by k)
+    select path, vec_id || '.png' as file_name, 'static' as asset_type, '0.5' as asset_confidence, printf('visual_%04d', place) as visual_cluster_id, 'dup_0000' as near_duplicate_group, n::varchar as cluster_size, (count(*) over ())::varchar as duplicate_group_size,
+    '64' as width, '32' as height, '2.0' as aspect_ratio, '.png' as suffix, printf('%016x', vec_id) as dhash, '00' as ahash, '0.25' as color_diversity, '0.125' as edge_density, '0.75' as saturation_mean, '0.5' as brightness_mean, 'clip' as encoder from g join r using (k)""",
+)
+def run_pipeline(spark, d):
+    """All nineteen columns of the cluster table's CSV, read back."""
+    return pipeline.run_pipeline(table(spark, d, "embeddings"), new_path(spark, "query-pipeline"), _modelled, "clip")[0]
+
+
+@query("run_pipeline_counts", "select count(*) as records, count(*) filter (vec_id % 10 <> 3) as valid_records, 7 as feature_dim, 7::bigint as visual_clusters, 1::bigint as near_duplicate_groups from embeddings")
+def run_pipeline_counts(spark, d):
+    return pipeline.run_pipeline(table(spark, d, "embeddings"), new_path(spark, "query-pipeline"), _modelled, "clip")[1]
