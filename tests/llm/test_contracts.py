@@ -1,6 +1,7 @@
 """Every opN_ query, called as registered, on odd tables beside brute force, and on empty ones."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -255,6 +256,16 @@ def test_op8(spark, tables):
     assert {d: r["taken"] for d, r in got.items()} == {d: r["taken"] for d, r in again.items()}
 
 
+def test_op8_meets_its_targets(spark):
+    """On the shared tables each source is within 40 words (0.2 %) of its target."""
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    found = _run(spark, "op8_mixing", folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source"), "doc_id")
+    sums = found.groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert sums and max(abs(r["sum(taken)"] - r["max(target)"]) for r in sums) <= 40
+
+
 def _simhash(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     grams = [words[i : i + 3] for i in range(len(words) - 2)] or ([words] if words else [])
