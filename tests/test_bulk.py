@@ -40,6 +40,19 @@ def test_best_is_mergeable():
     assert got[0] == got[1] and len(got[0]) == 63
 
 
+def test_a_task_takes_a_part_of_the_queries_at_once():
+    """Scores come by parts of the queries, unrounded."""
+    x = np.random.default_rng(4).normal(size=(3000, 5))
+    best = bulk.Best(1500, 3, 6)
+    for at in range(0, 3000, 700):
+        for q in range(0, 1500, 400):
+            best.add(x[at : at + 700] @ x[q : min(q + 400, 1500)].T, np.arange(at, min(at + 700, 3000)).astype(object), q)
+    best.trim()
+    s = np.round(x @ x[:1500].T, 6)
+    want = {(q, int(i), s[i, q]) for q in range(1500) for i in np.lexsort((np.arange(3000), -s[:, q]))[:3]}
+    assert set(zip(best.query.tolist(), best.id.tolist(), best.score.tolist(), strict=True)) == want
+
+
 @pytest.mark.parametrize("mode", ["max", "mean", "sum"])
 def test_cells_give_the_same_and_read_less(spark, tmp_path, mode):
     dice = np.random.default_rng(3)
