@@ -82,6 +82,42 @@ def test_chain_is_one_group(spark):
     assert {got[i] for i in range(12)} == {("dup_0000", 12)} and got[99] == ("dup_0001", 1)
 
 
+def _classes(codes, bound):
+    """Least code that each reaches, by all pairs."""
+    x = np.array(codes).view(np.uint64)
+    near, root = np.bitwise_count(x[:, None] ^ x[None]) <= bound, np.array(codes)
+    while True:
+        now = np.where(near, root[None], np.iinfo(np.int64).max).min(axis=1)
+        if (now == root).all():
+            return dict(zip(codes, root.tolist(), strict=True))
+        root = now
+
+
+@pytest.mark.parametrize("kind", ["dense", "sparse", "even", "one"])
+def test_groups_of_codes_are_those_of_all_pairs(spark, monkeypatch, kind):
+    dice = random.Random(3)
+    near = [c ^ (1 << dice.randrange(40)) ^ (1 << dice.randrange(40)) for c in range(0, 1 << 62, 1 << 56)]
+    codes = {"dense": [3 * i + (i % 7 << 50) for i in range(500)], "sparse": [c ^ m for c in near for m in (0, 15 << 30, 511 << 30)] + [-1, -2], "even": [i for i in range(900) if i.bit_count() % 5 == 0], "one": [7]}[kind]
+    codes = sorted(set(codes))
+    for stars in (2, 0):  # 0: by the last step alone
+        monkeypatch.setattr(clusters, "STARS", stars)
+        got = {r["node"]: r["root"] for r in clusters.code_roots(spark.createDataFrame([(c,) for c in codes], "c long"), 4).collect()}
+        assert got == _classes(codes, 4)
+
+
+def test_a_dense_group_makes_no_pairs(spark):
+    """Of 4,096 neighbouring codes 3,000,000 pairs are within 4 bits; the links that are written stay in proportion to the codes."""
+    codes = spark.range(4096).select(F.col("id").alias("c"))
+    made = []
+    keep = clusters.written
+    try:
+        clusters.written = lambda df, label: (made.append((label, out := keep(df, label))), out)[1]
+        assert {r["root"] for r in clusters.code_roots(codes, 4).select("root").distinct().collect()} == {0}
+    finally:
+        clusters.written = keep
+    assert all(df.count() <= 35 * 4096 for _, df in made)
+
+
 def _unit(x):
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
