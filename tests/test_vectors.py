@@ -146,6 +146,35 @@ def test_rounds_are_whole_clustering(spark, method, threshold, kind, fit):
     assert all(r["cluster_size"] == sum(v == r["root"] for v in got.values()) and r["root"] == min(k for k, v in got.items() if v == r["root"]) for r in rows)
 
 
+def _links_of(x, size, threshold, method):
+    i, j = np.triu_indices(len(x), 1)
+    d = metric.pair_distances(x[i], x[j], size[i], size[j], method)
+    return i[d < threshold], j[d < threshold], d[d < threshold]
+
+
+@pytest.mark.parametrize(("method", "threshold", "kind"), [("average", 0.3, "random"), ("ward", 4.0, "chain"), ("ward", 1.5, "random")])
+def test_links_are_enough_for_clusters(method, threshold, kind):
+    x = _unit(_clustered(kind)) if method == "average" else _clustered(kind)
+    size = np.ones(len(x))
+    got, want = clusters.linked(x, size, *_links_of(x, size, threshold, method), threshold, method), clusters.linkage(x, threshold, method)
+    assert [np.flatnonzero(got == got[i]).tolist() for i in range(len(x))] == [np.flatnonzero(want == want[i]).tolist() for i in range(len(x))]
+
+
+@pytest.mark.parametrize(("method", "threshold", "most", "linked"), [("average", 0.3, 128, 1), ("ward", 2.5, 128, 0), ("ward", 2.5, 0, 8)])
+def test_rounds_over_links_are_whole_clustering(spark, monkeypatch, method, threshold, most, linked):
+    """Neighbours are found once: rounds over links alone (linked 0), with tasks for components; none allowed: by blocks."""
+    monkeypatch.setattr(clusters, "LINKS", most)
+    monkeypatch.setattr(clusters, "LINKED", linked)
+    calls, keep = [], clusters.nearest
+    monkeypatch.setattr(clusters, "nearest", lambda *a: (calls.append(1), keep(*a))[1])
+    x = _clustered("random")
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "key long, v array<double>")
+    got = {r["key"]: r["root"] for r in clusters.agglomerate(df, "key", "v", threshold, method, 5, 16).collect()}
+    whole = clusters.linkage(_unit(x) if method == "average" else x, threshold, method)
+    assert [got[i] for i in range(len(x))] == [int(np.flatnonzero(whole == v)[0]) for v in whole]
+    assert bool(calls) == (most == 0)
+
+
 def test_clusters_of_strings_and_of_nothing(spark):
     df = spark.createDataFrame([("é", [1.0, 0.0]), ("b", [1.0, 0.01]), ("c", [0.0, 1.0])], "key string, v array<float>")
     got = {r["key"]: (r["root"], r["visual_cluster_id"], r["cluster_size"]) for r in clusters.agglomerate(df, "key", "v", 0.1).collect()}
