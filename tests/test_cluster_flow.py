@@ -19,3 +19,7 @@ def made(spark, tmp_path, monkeypatch):
 def test_table_of_consecutive_hashes(made):
     rows = made[0].collect()
     assert len(rows) == 180 and {(r["near_duplicate_group"], r["duplicate_group_size"]) for r in rows} == {("dup_0000", "180")}
+
+
+def test_counts_of_consecutive_hashes(made):
+    assert tuple(made[1].first()) == (200, 180, 7, 7, 1)
