@@ -1,5 +1,7 @@
 """Images with consecutive hashes through the whole flow: one near-duplicate group, and no list of pairs."""
 
+import random
+
 import pytest
 
 from loomary.operators import clusters
@@ -23,3 +25,47 @@ def test_table_of_consecutive_hashes(made):
 
 def test_counts_of_consecutive_hashes(made):
     assert tuple(made[1].first()) == (200, 180, 7, 7, 1)
+
+
+@pytest.fixture
+def tables(monkeypatch):
+    """Rows of the tables written, by label."""
+    found, plain = {}, clusters.written
+
+    def counted(df, label):
+        out = plain(df, label)
+        found.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(clusters, "written", counted)
+    return found
+
+
+def test_consecutive_hashes_take_one_link_a_code_and_task(spark, tables, tmp_path):
+    table, _ = pipeline.run_pipeline(spark.range(2000).withColumnRenamed("id", "vec_id"), f"file://{tmp_path}/flow", scale._modelled, "clip")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "keys" not in tables and sum(tables["links"]) < 1800 * tasks and table.count() == 1800
+
+
+@pytest.mark.parametrize("crowd", [4096, 20, 2])
+def test_code_roots_equal_all_pairs(spark, crowd):
+    """Chains of near codes, codes far from all others and consecutive ones; keys that a task links, and crowded ones."""
+    r = random.Random(3)
+    codes = set(range(0, 1500, 5))
+    for _ in range(60):
+        x = r.getrandbits(64) - (1 << 63)
+        codes.add(x)
+        for _ in range(r.randint(0, 3)):
+            for k in r.sample(range(63), r.randint(1, 6)):
+                x ^= 1 << k
+            codes.add(x)
+    codes = sorted(codes)
+    root = {x: x for x in codes}
+    for j, b in enumerate(codes):
+        for a in codes[:j]:
+            if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {x: low if v == high else v for x, v in root.items()}
+    df = spark.createDataFrame([(x,) for x in codes], "c long")
+    assert {x["node"]: x["root"] for x in clusters.code_roots(df, 4, crowd=crowd).collect()} == root
+    assert clusters.code_roots(df.limit(0), 4, crowd=crowd).count() == 0
