@@ -47,6 +47,11 @@ def test_consecutive_hashes_take_one_link_a_code_and_task(spark, tables, tmp_pat
     assert "keys" not in tables and sum(tables["links"]) < 1800 * tasks and table.count() == 1800
 
 
+def test_counts_need_no_table_of_keys(spark, tables, tmp_path):
+    _, counts = pipeline.run_pipeline(spark.range(500).withColumnRenamed("id", "vec_id"), f"file://{tmp_path}/flow", scale._modelled, "clip")
+    assert tuple(counts.first()) == (500, 450, 7, 7, 1) and "keys" not in tables
+
+
 @pytest.mark.parametrize("crowd", [4096, 20, 2])
 def test_code_roots_equal_all_pairs(spark, crowd):
     """Chains of near codes, codes far from all others and consecutive ones; keys that a task links, and crowded ones."""
