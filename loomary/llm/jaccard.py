@@ -1,10 +1,12 @@
 """Near-duplicates by exact Jaccard similarity of five-word shingle sets.
 
-MinHash bands (BANDS of ROWS samples) bring texts together: a pair at Jaccard 0.8 shares no band with probability
-(1 - 0.8^4)^32, about 4e-8, and less above. Pairs are then decided by the exact similarity of their whole sets. First
-every text of a bucket is compared with the bucket's centre (a few rounds, another centre each), so that groups of
-copies cost a comparison a text; texts of buckets that are not linked throughout by then meet by a prefix filter on their
-rarest shingles, which loses no pair and spares those that only share common passages. Only distinct shingle sets travel.
+Texts meet by the anchor points of simhash.py first: SimHash fingerprints of the sets go to the words of a covering code,
+and the links within BITS bits that come from there are decided by the exact similarity of the whole sets. What so few
+bits can't reach (at Jaccard 0.8 some ten of 64 bits differ) meets by MinHash bands (BANDS of ROWS samples): a pair at
+Jaccard 0.8 shares no band with probability (1 - 0.8^4)^32, about 4e-8, and less above. First every text of a bucket is
+compared with the bucket's centre (a few rounds, another centre each), so that groups of copies cost a comparison a text;
+texts of buckets that are not linked throughout by then meet by a prefix filter on their rarest shingles, which loses no
+pair and spares those that only share common passages. Only distinct shingle sets travel.
 """
 
 from __future__ import annotations
@@ -14,14 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import maybe_in, written
 from .components import components
-from .simhash import classes, one_each
+from .simhash import classes, of_hashes, one_each
+from .simhash import links as anchor_links
 
-SEED, WORDS, SIMILARITY, STARS = 42, 5, 0.8, 2
+SEED, WORDS, SIMILARITY, STARS, BITS = 42, 5, 0.8, 2, 3
 BANDS, ROWS = 32, 4
 CHUNK = 1 << 12
 _TIMES = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,7 +60,8 @@ def _node(values: np.ndarray) -> int:
 def _sketch(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in parts:
         sets = [shingles(x) for x in part]
-        yield pd.DataFrame({"fp": [_node(s) for s in sets], "n": [len(s) for s in sets], "keys": [bands(s) for s in sets]})
+        sim = np.array([of_hashes(s) for s in sets], np.uint64).view(np.int64)
+        yield pd.DataFrame({"fp": [_node(s) for s in sets], "n": [len(s) for s in sets], "sim": sim, "keys": [bands(s) for s in sets]})
 
 
 def _sets(needed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -101,25 +105,48 @@ def rare_pairs(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     return met.select(F.least("fp", "fp_").alias("a"), F.greatest("fp", "fp_").alias("b")).distinct()
 
 
+def _alike(x: Column, y: Column, similarity: float) -> Column:
+    """Sets of such sizes may be similar."""
+    return F.least(x, y) >= similarity * F.greatest(x, y)
+
+
+def anchored_pairs(nodes: DataFrame, similarity: float, bits: int = BITS) -> DataFrame:
+    """(a, b) of sets (fp, n, sim) whose fingerprints are linked within `bits`: a spanning forest for each anchor over the first
+    set of each fingerprint, and that one beside the others of its fingerprint."""
+    heads = written(nodes.groupBy("sim").agg(F.min(F.struct("fp", "n")).alias("h")).select("sim", "h.fp", "h.n"), "heads")
+    end = lambda x: heads.select(F.col("sim").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("n").alias(f"{x}_n"))
+    forest = anchor_links(heads.select(F.col("sim").alias("fp")), bits).distinct().join(end("a"), "a").join(end("b"), "b")
+    same = nodes.join(end("sim"), "sim").select(F.col("fp").alias("a_fp"), F.col("n").alias("a_n"), F.col("sim_fp").alias("b_fp"), F.col("sim_n").alias("b_n"))
+    both = forest.select("a_fp", "a_n", "b_fp", "b_n").unionByName(same.filter("a_fp <> b_fp"))
+    return both.filter(_alike(F.col("a_n"), F.col("b_n"), similarity)).select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
+
+
+def _between(pairs: DataFrame) -> DataFrame:
+    """The distinct ends of the pairs."""
+    return written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "needed")
+
+
 def roots(sketched: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of all linked sets; sketched: (fp, n, keys), one row a text at least. No rows give no rows."""
-    dealt = sketched.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("fp", "n", F.explode("keys").alias("key"))
-    # a repeated key needs company
-    shared = dealt.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    open_ = written(dealt.join(shared, "key", "left_semi").withColumn("root", F.col("fp")), "buckets")
-    links, alike = None, lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
+    """(node, root) of all linked sets; sketched: (fp, n, sim, keys), one row a text at least. No rows give no rows."""
+    nodes = sketched.groupBy("fp").agg(F.first("n").alias("n"), F.first("sim").alias("sim"))
+    pairs = written(anchored_pairs(nodes, similarity), "pairs")
+    links = _links(pairs, _sets(_between(pairs), texts), similarity)
+    known = components(links)
+    dealt = sketched.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).join(known, F.col("fp") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.explode("keys").alias("key"))
+    # a repeated key needs company that isn't linked yet
+    mixed = dealt.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("key")
+    open_ = written(dealt.join(mixed, "key", "left_semi"), "buckets")
     for k in range(STARS + 1):
         if k < STARS:
             centre = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(k)), "fp", "n", "root")).alias("c"))
-            near = open_.join(centre, "key").filter((F.col("root") != F.col("c.root")) & alike(F.col("n"), F.col("c.n")))
+            near = open_.join(centre, "key").filter((F.col("root") != F.col("c.root")) & _alike(F.col("n"), F.col("c.n"), similarity))
             pairs = written(near.select(F.least("fp", "c.fp").alias("a"), F.greatest("fp", "c.fp").alias("b")).distinct(), "pairs")
-            sets = _sets(written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "needed"), texts)
+            sets = _sets(_between(pairs), texts)
         else:
             left = written(open_.select("fp", "root").distinct(), "left")
             sets = _sets(left.select("fp"), texts)
             pairs = rare_pairs(sets, left, similarity)
-        found = _links(pairs, sets, similarity)
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(_links(pairs, sets, similarity))
         known = components(links)
         if k < STARS:
             now = open_.drop("root").join(known, open_["fp"] == known["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
@@ -134,8 +161,8 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     Texts without words (null ones too) are one class.
     """
     text = F.col(f"`{text_col}`")
-    sketch = F.pandas_udf(_sketch, "fp long, n int, keys array<long>")
+    sketch = F.pandas_udf(_sketch, "fp long, n int, sim long, keys array<long>")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tie"), sketch(text).alias("s"))
-    marked = written(row.select("row", "id", "tie", "s.fp", "s.n", "s.keys"), "marked")
-    found = roots(marked.select("fp", "n", "keys"), marked.select("fp", F.col(f"row.`{text_col}`").alias("text")), similarity)
+    marked = written(row.select("row", "id", "tie", "s.fp", "s.n", "s.sim", "s.keys"), "marked")
+    found = roots(marked.select("fp", "n", "sim", "keys"), marked.select("fp", F.col(f"row.`{text_col}`").alias("text")), similarity)
     return one_each(marked.select("row", "id", "tie", "fp"), classes(marked.select("id", "tie", "fp"), id_col="id", roots=found))

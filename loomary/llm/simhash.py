@@ -49,6 +49,14 @@ def simhash(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint of shingles that are hashed already: bits that over half of the values have; 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), BLOCK):
+        counts += np.unpackbits(hashes[k : k + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint_column(text: Column, words: int = 3) -> Column:
     """simhash() of a string column as signed long."""
 

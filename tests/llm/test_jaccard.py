@@ -69,3 +69,22 @@ def test_near_dedup_equals_all_pairs(spark):
     assert got.columns == df.columns
     assert sorted(x["doc_id"] for x in got.collect()) == sorted(set(_classes(texts)))
     assert jaccard.near_dedup(df.limit(0)).count() == 0
+
+
+def test_anchors_link_near_copies_without_bands(spark):
+    """Texts without a MinHash band meet by the anchors of their fingerprints; links are decided by exact similarity."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(20):
+        words = [word() for _ in range(800)]
+        texts += [" ".join(words), " ".join([*words, word()]), " ".join([*words[:-1], word(), word()])]
+    sets = [jaccard.shingles(t) for t in texts]
+    rows = [(jaccard._node(s), len(s), jaccard.of_hashes(s) - (1 << 64 if jaccard.of_hashes(s) >> 63 else 0), []) for s in sets]
+    sketched = spark.createDataFrame(rows, "fp long, n int, sim long, keys array<long>")
+    by_fp = spark.createDataFrame([(x[0], t) for x, t in zip(rows, texts, strict=True)], "fp long, text string")
+    found = {x["node"]: x["root"] for x in jaccard.roots(sketched, by_fp).collect()}
+    of = [found.get(x[0], x[0]) for x in rows]
+    alike = [sum(a >> k & 1 != b >> k & 1 for k in range(64)) <= 3 for a, b in ((rows[i][2], rows[i + 1][2]) for i in range(0, 60, 3))]
+    assert sum(alike) > 10 and all(of[3 * k] == of[3 * k + 1] for k, near in enumerate(alike) if near)
+    assert len({of[i] for i in range(0, 60, 3)}) == 20
