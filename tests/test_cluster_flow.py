@@ -74,3 +74,15 @@ def test_code_roots_equal_all_pairs(spark, crowd):
     df = spark.createDataFrame([(x,) for x in codes], "c long")
     assert {x["node"]: x["root"] for x in clusters.code_roots(df, 4, crowd=crowd).collect()} == root
     assert clusters.code_roots(df.limit(0), 4, crowd=crowd).count() == 0
+
+
+def test_few_linked_clusters_go_on_by_rounds(spark, monkeypatch):
+    """A chain in which one pair merges a round: nine clusters are left in the fourth one, with room for eight in a task."""
+
+    def no_components(*_):
+        raise AssertionError("components")
+
+    monkeypatch.setattr(clusters, "components", no_components)
+    df = spark.createDataFrame([(k, [float(3**k)]) for k in range(12)], "id long, v array<double>")
+    got = clusters.agglomerate(df, "id", "v", 1e6, "ward", fit=1).collect()
+    assert len(got) == 12 and {(r["root"], r["cluster_size"]) for r in got} == {(0, 12)}
