@@ -1,6 +1,7 @@
 """Images with consecutive hashes through the whole flow: one near-duplicate group, and no list of pairs."""
 
 import random
+from math import comb
 
 import pytest
 
@@ -52,6 +53,62 @@ def test_counts_need_no_table_of_keys(spark, tables, tmp_path):
     assert tuple(counts.first()) == (500, 450, 7, 7, 1) and "keys" not in tables
 
 
+def test_counts_deal_consecutive_hashes_to_few_keys(spark, tables, tmp_path, monkeypatch):
+    """A code has two keys of lines, not 35 of bands, and its components take no rounds."""
+    dealt, plain = [], clusters._keys
+    monkeypatch.setattr(clusters, "_keys", lambda c, edges, equal: (dealt.append(comb(len(edges) - 1, equal)), plain(c, edges, equal))[1])
+    _, counts = pipeline.run_pipeline(spark.range(3000).withColumnRenamed("id", "vec_id"), f"file://{tmp_path}/flow", scale._modelled, "clip")
+    assert tuple(counts.first()) == (3000, 2700, 7, 7, 1) and dealt == [2] and "labels" not in tables
+
+
+def _roots(codes):
+    """Least code that each reaches within 4 bits, by all pairs."""
+    root = {x: x for x in codes}
+    for j, b in enumerate(codes):
+        for a in codes[:j]:
+            if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {x: low if v == high else v for x, v in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("crowd", [4096, 20])
+@pytest.mark.parametrize("kind", ["one", "apart", "halves", "bridge"])
+def test_codes_linked_along_lines_equal_all_pairs(spark, monkeypatch, kind, crowd):
+    """Dense codes: one group, codes apart from it and near each other, two groups alike, and two that one code joins."""
+    dice, far = random.Random(5), 511 << 40
+    lone = [dice.getrandbits(63) for _ in range(30)]
+    near = [x ^ 1 << dice.randrange(63) ^ 1 << dice.randrange(63) for x in lone[:15]]
+    more = {"one": [], "apart": [*lone, *near, -1, -2], "halves": [x | far for x in range(300)], "bridge": [*(x | far for x in range(60)), 5 | 15 << 40, 6 | 255 << 40]}[kind]
+    codes = sorted({*range(300), *more})
+    monkeypatch.setattr(clusters, "DENSE", 2.0**60)
+    got = clusters.code_roots(spark.createDataFrame([(x,) for x in codes], "c long"), 4, crowd=crowd)
+    assert {x["node"]: x["root"] for x in got.collect()} == _roots(codes)
+
+
+def test_hashes_with_the_highest_bit_are_unsigned(spark):
+    """-1 and -2 ** 44 differ from 2 ** 44 - 1 in 20 bits and all 64; -2 ** 63 and 1 differ in two."""
+    codes = [-(2**63), 1, 2**44 - 1, -1, -(2**44), *(2**62 + (k << 20) for k in range(0, 90, 9))]
+    got = clusters.code_roots(spark.createDataFrame([(x,) for x in codes], "c long"), 4)
+    assert {x["node"]: x["root"] for x in got.collect()} == _roots(sorted(codes))
+
+
+@pytest.mark.parametrize("settled", [0, 1 << 19])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_by_rounds_and_in_a_task(spark, monkeypatch, settled, kind):
+    dice = random.Random(4)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(dice.randrange(90), dice.randrange(90)) for _ in range(40)] + [(7, 7)]
+    root = {k: k for k in range(200)}
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    monkeypatch.setattr(clusters, "SETTLED", settled)
+    name = (lambda k: k) if kind == "long" else "é{:03d}".format
+    links = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"a {kind}, b {kind}")
+    got = clusters.components(links, spark.createDataFrame([(name(k),) for k in range(200)], f"node {kind}"))
+    assert {x["node"]: x["root"] for x in got.collect()} == {name(k): name(v) for k, v in root.items()}
+
+
 @pytest.mark.parametrize("crowd", [4096, 20, 2])
 def test_code_roots_equal_all_pairs(spark, crowd):
     """Chains of near codes, codes far from all others and consecutive ones; keys that a task links, and crowded ones."""
